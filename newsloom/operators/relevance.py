@@ -20,7 +20,7 @@ def entity_segments(entities: Column) -> Column:
     An item holds no ``;`` and hence no complete HTML entity, so accents can be folded once on
     the whole list; U+037E would decompose into a semicolon and is blanked first.
     """
-    folded = F.lower(fold_accents(F.replace(F.coalesce(entities, F.lit("")), F.lit(";"), F.lit(" "))))
+    folded = F.lower(let(F.replace(F.coalesce(entities, F.lit("")), F.lit("\u037e"), F.lit(" ")), fold_accents))
 
     def piece(name: Column) -> Column:
         plain = F.regexp_replace(name, r"['’]s" + WORD_END, "")
