@@ -278,7 +278,7 @@ def _(spark, sf):
 
 
 @query("resumable_backfills", BACKFILLS + """SELECT DISTINCT s.backfill_id FROM slices s JOIN backfills b ON b.id = s.backfill_id
-WHERE s.status = 'failed' AND s.attempts < 65 AND s.attempts < 40 + 25 AND b.status IN ('running', 'failed') AND s.matched < 1000 AND s.attempts - 25 < 40""")
+WHERE s.status = 'failed' AND s.attempts - 25 < 40 AND b.status IN ('running', 'failed')""")
 def _(spark, sf):
     s = i.slices(spark, sf).withColumn("attempts", (F.col("attempts") - 25).cast("smallint"))
     return backfill.resumable(s, i.backfills(spark, sf))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.binding import let
 from newsloom.functions.text import WS, fold_phrase
 
 # --- fixed values ----------------------------------------------------------------------------
@@ -100,20 +101,21 @@ def phrase_pattern(pattern: str) -> str | None:
     return r"(?<![\p{L}\p{N}])(?:" + "|".join(alternatives) + r")(?![\p{L}\p{N}])"
 
 
-def _spans(tokens: Column, phrases: list[str]) -> Column:
-    """``array<struct<start,end>>`` of every occurrence of every phrase, in phrase order."""
-    found = []
-    for phrase in phrases:
-        words = phrase.split(" ")
+def _spans_of(tokens: Column, phrase: str) -> Column:
+    words = phrase.split(" ")
+
+    def at(word: Column, i: Column) -> Column:
+        hit = word == words[0]
+        for k, w in enumerate(words[1:], 1):
+            hit = hit & (F.get(tokens, i + k) == w)
+        return F.when(hit, F.struct(i.alias("start"), (i + (len(words) - 1)).alias("end")))
 
-        def at(word: Column, i: Column, words: list[str] = words) -> Column:
-            hit = word == words[0]
-            for k, w in enumerate(words[1:], 1):
-                hit = hit & (F.try_element_at(tokens, i + (k + 1)) == w)
-            return F.when(hit, F.struct(i.alias("start"), (i + (len(words) - 1)).alias("end")))
+    return F.filter(F.transform(tokens, at), lambda s: s.isNotNull())
 
-        found.append(F.filter(F.transform(tokens, at), lambda s: s.isNotNull()))
-    return F.concat(*found)
+
+def _spans(tokens: Column, phrases: list[str]) -> Column:
+    """``array<struct<start,end>>`` of every occurrence of every phrase, in phrase order."""
+    return F.concat(*[_spans_of(tokens, p) for p in phrases])
 
 
 def proximity_count(text: Column, pattern: str, pattern_b: str, max_distance: int) -> Column:
@@ -121,14 +123,6 @@ def proximity_count(text: Column, pattern: str, pattern_b: str, max_distance: in
     first, second = phrase_alternatives(pattern), phrase_alternatives(pattern_b)
     if not first or not second:
         return F.lit(0)
-    tokens = F.split(text, " ")
-    others = _spans(tokens, second)
-
-    def near(x: Column) -> Column:
-        def gap_ok(y: Column) -> Column:
-            return (y.start - x.end).between(1, max_distance) | (x.start - y.end).between(1, max_distance)
-
-        return F.exists(others, gap_ok)
 
     def mentions(phrases: list[str]) -> Column:
         hit = F.lit(False)
@@ -136,8 +130,20 @@ def proximity_count(text: Column, pattern: str, pattern_b: str, max_distance: in
             hit = hit | text.contains(p)
         return hit
 
-    counted = F.size(F.filter(_spans(tokens, first), near))
-    return F.when(mentions(first) & mentions(second), counted).otherwise(0)
+    def counted(spans: Column) -> Column:
+        def near(x: Column) -> Column:
+            return F.exists(
+                spans.b,
+                lambda y: (y.start - x.end).between(1, max_distance) | (x.start - y.end).between(1, max_distance),
+            )
+
+        return F.size(F.filter(spans.a, near))
+
+    spans = let(
+        F.split(text, " "),
+        lambda tokens: let(F.struct(_spans(tokens, first).alias("a"), _spans(tokens, second).alias("b")), counted),
+    )
+    return F.when(mentions(first) & mentions(second), spans).otherwise(0)
 
 
 def occurrences(rule: Rule, text: Column) -> Column:

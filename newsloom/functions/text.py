@@ -6,7 +6,6 @@ import re
 import unicodedata
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -66,11 +65,12 @@ def decode_entities(text: Column) -> Column:
 
 @F.arrow_udf(StringType())
 def _nfkc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFKC")
+    # The Arrow kernel of this name decomposes but does not compose, hence the library function.
+    return pa.array([None if s is None else unicodedata.normalize("NFKC", s) for s in text.to_pylist()], pa.string())
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition, the one text step Spark cannot express: Arrow-vectorised.
+    """Compatibility composition, the one text step Spark cannot express, in Arrow batches.
 
     Normal forms leave ASCII alone, so only other rows carry a value across. Nothing downstream
     is a Python function, so the planner never merges later expressions into this argument.

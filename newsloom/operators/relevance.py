@@ -64,7 +64,7 @@ def rule_signal(rule: Rule, config: RelevanceConfig) -> Column:
         total = F.aggregate(h, F.lit(0), lambda a, c: a + c.n)
         best = F.lit(0.0)
         for f in rule.fields:
-            here = F.exists(h, lambda c, f=f: c.field == f)
+            here = F.array_contains(F.transform(h, lambda c: c.field), f)
             best = F.greatest(best, F.when(here, float(config.field_multipliers.get(f, 0.0))).otherwise(0.0))
         extra = F.least(total - 1, F.lit(config.frequency_bonus_cap))
         raw = F.lit(float(rule.weight)) * best * (1 + extra * float(config.frequency_bonus_per_extra))

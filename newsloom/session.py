@@ -15,6 +15,7 @@ def local_session(cores: str = "*", name: str = "newsloom", **conf: str) -> Spar
     """A single-machine session for tests and benchmarks."""
     settings = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",

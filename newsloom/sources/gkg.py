@@ -50,37 +50,37 @@ def parse_lines(lines: DataFrame, anchor: str) -> DataFrame:
         .filter(F.rlike(F.col("value"), F.lit("(?i)" + java_pattern(anchor))))
         .filter(F.size(f) >= COLUMNS)
         .withColumn("f", f)
-        .filter(F.col("f")[DOCUMENT_URL].rlike("(?i)^https?://"))
-        .withColumn("title", page_title(F.col("f")[EXTRAS]))
+        .filter(F.get("f", F.lit(DOCUMENT_URL)).rlike("(?i)^https?://"))
+        .withColumn("title", page_title(F.get("f", F.lit(EXTRAS))))
         .filter(F.col("title").isNotNull())
         .withColumns(
             {
-                "persons": name_list(F.col("f")[PERSONS]),
+                "persons": name_list(F.get("f", F.lit(PERSONS))),
                 "others": F.concat(
-                    name_list(F.col("f")[ORGANIZATIONS]),
-                    name_list(F.col("f")[LOCATIONS], 1),
-                    name_list(F.col("f")[ALL_NAMES]),
+                    name_list(F.get("f", F.lit(ORGANIZATIONS))),
+                    name_list(F.get("f", F.lit(LOCATIONS)), 1),
+                    name_list(F.get("f", F.lit(ALL_NAMES))),
                 ),
             }
         )
         .withColumn(
             "anchor_text",
             F.concat_ws(
-                " ", match_text(F.col("title")), url_match_text(F.col("f")[DOCUMENT_URL]),
+                " ", match_text(F.col("title")), url_match_text(F.get("f", F.lit(DOCUMENT_URL))),
                 match_text(F.array_join("persons", " ; ")),
             ),
         )
         .filter(F.rlike(F.col("anchor_text"), F.lit(java_pattern(anchor))))
     )
-    themes = F.filter(F.split(F.col("f")[THEMES], ";"), lambda x: x != "")
+    themes = F.filter(F.split(F.get("f", F.lit(THEMES)), ";"), lambda x: x != "")
 
     def text(i: int) -> Column:
-        return F.when(F.col("f")[i] != "", F.col("f")[i])
+        return F.when(F.get("f", F.lit(i)) != "", F.get("f", F.lit(i)))
 
     return kept.select(
         F.lit(PROVIDER).alias("provider"),
         text(RECORD_ID).alias("provider_ref"),
-        F.col("f")[DOCUMENT_URL].alias("url"),
+        F.get("f", F.lit(DOCUMENT_URL)).alias("url"),
         "title",
         F.lit(None).cast("string").alias("description"),
         text(SHARING_IMAGE).alias("image_url"),
@@ -88,11 +88,11 @@ def parse_lines(lines: DataFrame, anchor: str) -> DataFrame:
         F.lit(None).cast("string").alias("source_country"),
         F.lit("English").alias("language"),
         F.lit(None).cast("string").alias("author"),
-        F.col("f")[DATE].alias("published_at"),
+        F.get("f", F.lit(DATE)).alias("published_at"),
         F.array_join(F.array_distinct(F.concat("persons", "others")), " ; ").alias("entities"),
         F.lit(None).cast("int").alias("matched_query_id"),
         F.create_map(
-            F.lit("gkgRecordId"), F.col("f")[RECORD_ID],
+            F.lit("gkgRecordId"), F.get("f", F.lit(RECORD_ID)),
             F.lit("themes"), F.array_join(F.slice(themes, 1, MAX_THEMES), ";"),
         ).alias("metadata"),
     )
