@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 _HANGUL = range(0xAC00, 0xD7A4)
 _PAIR, _KEY = "\u0001", "\u0002"
+_COARSE_GAP = 48
 
 
 def _folded(c: str) -> str:
@@ -26,8 +27,12 @@ def _folded(c: str) -> str:
 
 
 @cache
-def _tables() -> tuple[str, str, str, str]:
-    """``(from, to)`` for translate, the pattern of several-character folds, and their table."""
+def _tables() -> tuple[str, str, str, str, str]:
+    """``(from, to)`` for translate; exact and coarse pattern of several-character folds; their table.
+
+    The coarse pattern joins neighbouring ranges. It has few ranges, so testing a text against it
+    is cheap, and it leaves out Latin letters, typographic quotes, dashes and Cyrillic.
+    """
     single, several, dropped = [], [], []
     for cp in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= cp <= 0xDFFF or cp in _HANGUL:
@@ -39,16 +44,18 @@ def _tables() -> tuple[str, str, str, str]:
         (single if len(f) == 1 else several if f else dropped).append((c, f))
     matching = "".join(c for c, _ in single) + "".join(c for c, _ in dropped)
     replacing = "".join(f for _, f in single)
-    pattern = "[" + "".join(_ranges([ord(c) for c, _ in several])) + "]"
+    points = [ord(c) for c, _ in several]
+    pattern = "[" + "".join(_ranges(points)) + "]"
+    coarse = "[" + "".join(_ranges(points, _COARSE_GAP)) + "가-힣]"
     table = _PAIR.join(f"{c}{_KEY}{f}" for c, f in several)
-    return matching, replacing, pattern, table
+    return matching, replacing, pattern, coarse, table
 
 
-def _ranges(points: list[int]) -> list[str]:
+def _ranges(points: list[int], gap: int = 1) -> list[str]:
     out, start = [], None
     for i, p in enumerate(points):
         start = p if start is None else start
-        if i + 1 == len(points) or points[i + 1] != p + 1:
+        if i + 1 == len(points) or points[i + 1] > p + gap:
             out.append(f"\\x{{{start:x}}}" + (f"-\\x{{{p:x}}}" if p > start else ""))
             start = None
     return out
@@ -72,15 +79,14 @@ def _jamo(c: Column) -> Column:
 
 
 def fold_accents(text: Column) -> Column:
-    matching, replacing, pattern, table = _tables()
+    matching, replacing, pattern, coarse, table = _tables()
     lookup = F.str_to_map(F.lit(table), F.lit(_PAIR), F.lit(_KEY))
 
     def several(c: Column) -> Column:
         return F.when(c.rlike(pattern), F.try_element_at(lookup, c)).when(c.between("가", "힣"), _jamo(c)).otherwise(c)
 
-    # U+0344 and the like fold to nothing; everything else is looked up per character, and only
-    # in rows that hold such a character at all.
+    # Characters that fold to several are looked up one by one, in rows that may hold any.
     spelled = F.when(
-        text.rlike(pattern[:-1] + "가-힣]"), F.array_join(F.transform(F.split(text, ""), several), "")
+        text.rlike(coarse), F.array_join(F.transform(F.split(text, ""), several), "")
     ).otherwise(text)
     return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(F.translate(spelled, matching, replacing))

@@ -50,31 +50,24 @@ def field_count(rule: Rule, name: str) -> Column:
     return F.aggregate(per_piece, F.lit(0), lambda a, b: a + b)
 
 
-def rule_signal(rule: Rule, config: RelevanceConfig) -> Column:
-    """``struct<rule,fields,count,raw>`` of one rule, null when it matches nowhere.
+def rule_signal(rule: Rule, counts: dict[str, Column], config: RelevanceConfig) -> Column:
+    """``struct<rule,fields,count,raw>`` of one rule from its per-field counts, null without a match.
 
     A rule counts once, at its strongest field, plus a small capped bonus for repeats.
     """
-    counts = F.array(
-        *[F.struct(F.lit(f).alias("field"), field_count(rule, f).cast("int").alias("n")) for f in rule.fields]
+    total = reduce(lambda a, b: a + b, counts.values())
+    factors = [
+        F.when(n > 0, float(config.field_multipliers.get(f, 0.0))).otherwise(0.0) for f, n in counts.items()
+    ]
+    best = F.greatest(F.lit(0.0), *factors)
+    extra = F.least(total - 1, F.lit(config.frequency_bonus_cap))
+    raw = F.lit(float(rule.weight)) * best * (1 + extra * float(config.frequency_bonus_per_extra))
+    signal = F.struct(
+        F.lit(rule.name).alias("rule"),
+        F.array_compact(F.array(*[F.when(n > 0, F.lit(f)) for f, n in counts.items()])).alias("fields"),
+        total.cast("int").alias("count"), raw.alias("raw"),
     )
-    hits = F.filter(counts, lambda c: c.n > 0)
-
-    def signal(h: Column) -> Column:
-        total = F.aggregate(h, F.lit(0), lambda a, c: a + c.n)
-        best = F.lit(0.0)
-        for f in rule.fields:
-            here = F.array_contains(F.transform(h, lambda c: c.field), f)
-            best = F.greatest(best, F.when(here, float(config.field_multipliers.get(f, 0.0))).otherwise(0.0))
-        extra = F.least(total - 1, F.lit(config.frequency_bonus_cap))
-        raw = F.lit(float(rule.weight)) * best * (1 + extra * float(config.frequency_bonus_per_extra))
-        return F.struct(
-            F.lit(rule.name).alias("rule"), F.transform(h, lambda c: c.field).alias("fields"),
-            total.alias("count"), raw.alias("raw"),
-        )
-
-    # The one-element transform binds the matched fields once for all uses in the signal.
-    return F.element_at(F.transform(F.array(hits), lambda h: F.when(F.size(h) > 0, signal(h))), 1)
+    return F.when(total > 0, signal)
 
 
 def _signal(rule: Column, count: Column, raw: Column) -> Column:
@@ -142,7 +135,15 @@ def score_relevance(
         "_weights", query_weight_list(F.col("matched_query_ids"), query_weights)
     )
     weights = F.col("_weights")
-    parts = [rule_signal(r, config) for r in rules]
+    # The counts are plain integer columns of their own stage: regular expressions run once per
+    # rule and field, and everything after them is generated arithmetic.
+    names = {(k, f): f"_n{k}_{f}" for k, r in enumerate(rules) for f in r.fields}
+    weighted = weighted.withColumns(
+        {name: field_count(rules[k], f).cast("int") for (k, f), name in names.items()}
+    )
+    parts = [
+        rule_signal(r, {f: F.col(names[k, f]) for f in r.fields}, config) for k, r in enumerate(rules)
+    ]
     parts += provider_evidence(weights, config)
     parts += country_trust_boost(F.col("source_country"), F.col("trust_weight"), config)
     signalled = weighted.withColumns(
@@ -170,4 +171,4 @@ def score_relevance(
             .otherwise("irrelevant"),
             "relevance_signals": shown,
         }
-    ).drop("_raw", "_weights")
+    ).drop("_raw", "_weights", *names.values())
