@@ -15,6 +15,7 @@ from newsloom.functions import text as t
 from newsloom.session import small, use_utc
 
 BASE_TIME = "2024-01-01 00:00:00"
+_LONG_TEXTS = ("documents", "pages")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,7 +24,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     for f in df.schema.fields:
         if isinstance(f.dataType, T.TimestampNTZType):
             df = df.withColumn(f.name, F.col(f.name).cast("timestamp"))
-    return df
+    return spread(df) if name in _LONG_TEXTS else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan has fewer tasks than cores.
+
+    A given table is one file of one row group, hence one task however long its texts are. At
+    scale a scan has more tasks than cores and is left alone: no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def stamp(c: Column) -> Column:

@@ -78,23 +78,19 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(_nfkc(F.when(~text.rlike(r"^\p{ASCII}*$"), text)), text)
 
 
-def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, WS + "+", " "))
-
-
 def clean_display_text(text: Column) -> Column:
     """Readable title or description: markup gone, provider tokenisation spacing repaired."""
     s = F.regexp_replace(nfkc(decode_entities(text)), CONTROL_CHARS, " ")
-    s = squeeze(F.regexp_replace(s, "<[^>]*>", " "))
-    for pattern, replacement in (
-        (WS + r"+([.,;:!?%)\]}])", "$1"),
-        (r"([(\[{])" + WS + "+", "$1"),
-        (r"(?i)([A-Za-z0-9_])" + WS + r"*(['’])" + WS + r"*(s|t|re|ve|ll|d|m)" + WORD_END, "$1$2$3"),
-        (WORD_START + r"([A-Z])\." + WS + r"(?=[A-Z]\.)", "$1."),
-        (WS + "*([–—])" + WS + "*", " $1 "),
-    ):
-        s = F.regexp_replace(s, pattern, replacement)
-    return squeeze(s)
+    # Composition and the control step turned every other kind of white space into a blank.
+    blank = "[ \\u1680]"
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, "<[^>]*>", " "), blank + "+", " "))
+    s = F.regexp_replace(s, blank + r"+([.,;:!?%)\]}])", "$1")
+    s = F.regexp_replace(s, r"([(\[{])" + blank + "+", "$1")
+    contraction = r"(?i)([A-Za-z0-9_])" + blank + r"*(['’])" + blank + r"*(s|t|re|ve|ll|d|m)" + WORD_END
+    s = let(s, lambda v: F.when(v.rlike("['’]"), F.regexp_replace(v, contraction, "$1$2$3")).otherwise(v))
+    s = F.regexp_replace(s, WORD_START + r"([A-Z])\." + blank + r"(?=[A-Z]\.)", "$1.")
+    s = F.regexp_replace(s, blank + "*([–—])" + blank + "*", " $1 ")
+    return F.trim(F.regexp_replace(s, blank + "+", " "))
 
 
 def match_text(text: Column) -> Column:
