@@ -154,14 +154,14 @@ def _(spark, sf):
     return i.table(spark, sf, "documents").select("doc_id", t.sha256_hex(t.match_text(F.col("text"))).alias("words"))
 
 
-def _sql_truncate(limit: int) -> str:
-    cut = f"substr(text, 1, {limit - 1})"
+def sql_truncate(limit: int, x: str = "text") -> str:
+    cut = f"substr({x}, 1, {limit - 1})"
     last = f"({limit - 1} - strpos(reverse({cut}), ' '))"
-    return (f"CASE WHEN length(text) > {limit} THEN rtrim(CASE WHEN strpos(reverse({cut}), ' ') > 0 AND {last} > {limit} * 0.6 "
-            f"THEN substr({cut}, 1, {last}) ELSE {cut} END, ' ' || chr(10) || chr(9) || chr(13)) || '…' ELSE text END")
+    return (f"CASE WHEN length({x}) > {limit} THEN rtrim(CASE WHEN strpos(reverse({cut}), ' ') > 0 AND {last} > {limit} * 0.6 "
+            f"THEN substr({cut}, 1, {last}) ELSE {cut} END, ' ' || chr(10) || chr(9) || chr(13)) || '…' ELSE {x} END")
 
 
-@query("truncate_words", f"SELECT doc_id, {_sql_truncate(300)} AS title, sha256({_sql_truncate(4000)}) AS long_text FROM documents")
+@query("truncate_words", f"SELECT doc_id, {sql_truncate(300)} AS title, sha256({sql_truncate(4000)}) AS long_text FROM documents")
 def _(spark, sf):
     d = i.table(spark, sf, "documents")
     return d.select("doc_id", t.truncate_words(F.col("text"), 300).alias("title"), t.sha256_hex(t.truncate_words(F.col("text"), 4000)).alias("long_text"))
