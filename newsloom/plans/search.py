@@ -152,8 +152,9 @@ def suggest(docs: DataFrame, prefixes: DataFrame, limit: int = SUGGESTIONS) -> D
         "query_id", F.slice("w", F.lit(1), F.size("w") - 1).alias("whole"), F.element_at("w", -1).alias("last")
     )
     titled = docs.select("title", F.array_distinct(exact_tokens(F.col("title"))).alias("words")).dropDuplicates(["title"])
-    # Words starting with the prefix share its first letters, the equi-join key.
-    heads = titled.select("title", "words", F.explode(F.array_distinct(F.transform("words", lambda w: F.substring(w, 1, 2)))).alias("head"))
+    # Words starting with the prefix share its first one or two letters, the equi-join key.
+    first = F.concat(F.transform("words", lambda w: F.substring(w, 1, 1)), F.transform("words", lambda w: F.substring(w, 1, 2)))
+    heads = titled.select("title", "words", F.explode(F.array_distinct(first)).alias("head"))
     found = heads.join(small(q.withColumn("head", F.substring("last", 1, 2))), "head").filter(
         F.exists("words", lambda w: F.startswith(w, F.col("last"))) & (F.size(F.array_except("whole", "words")) == 0)
     )
