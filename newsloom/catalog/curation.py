@@ -318,3 +318,52 @@ def _(spark, sf):
     verdict = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "accepted").otherwise("rejected")
     ov = i.table(spark, sf, "labels").select((F.col("doc_id") + 1).alias("id"), verdict.alias("manual_status"))
     return quality.apply_overrides(decided(spark, sf), ov).select("id", "status", "manual_status")
+
+
+# --- the whole pipeline ----------------------------------------------------------------------
+
+@query("sink_articles", NORM_SQL + """, old AS (SELECT DISTINCT url_hash FROM norm WHERE variant < 3 AND arrival % 3 <> 0 AND display <> '')
+SELECT url_hash, min(variant * 1000000 + arrival) AS arrival FROM norm WHERE display <> '' AND url_hash NOT IN (SELECT url_hash FROM old) GROUP BY 1""")
+def _(spark, sf):
+    n = normalize(variant_candidates(spark, sf)).filter("reason IS NULL").drop("reason")
+    early = (F.col("arrival") < 3000000) & (F.col("arrival") % 1000000 % 3 != 0)
+    stored = n.filter(early).select("niche_id", "url_hash").distinct()
+    return sightings.dedup_url(n).join(stored, ["niche_id", "url_hash"], "left_anti").select("url_hash", "arrival")
+
+
+def setup(spark):
+    from newsloom.plans.pipeline import Setup
+
+    return Setup(
+        [*RULES, Rule("lead", "regex", r"\b(the|und|de)\b", 40.0, ("title",))], WEIGHTS, CONFIG, i.categories(spark), i.category_rules(spark), ["en", "fr", "de"]
+    )
+
+
+@query("stream_ingest")
+def _(spark, sf):
+    """All pages landed as two files and streamed in; the stored article table afterwards."""
+    from newsloom.session import scratch_dir
+    from newsloom.streaming import ingest
+    import uuid
+
+    root = f"{scratch_dir(spark)}/newsloom-stream-{uuid.uuid4().hex}"
+    i.page_candidates(spark, sf).repartition(2, "run_id").write.parquet(f"{root}/landing")
+    now = F.lit("2025-01-01").cast("timestamp")
+    ingest.stream_ingest(spark, f"{root}/landing", root, f"{root}/checkpoint", setup(spark), now).awaitTermination()
+    a = ingest.current(spark, root, "articles")
+    return a.select("id", "status", "duplicate_of_id", "relevance_score", "relevance_status", "quality_status", "canonical_url")
+
+
+@query("rescore_all")
+def _(spark, sf):
+    """All pages curated in one batch, then rescored under stricter rules."""
+    from newsloom import schemas
+    from newsloom.plans import pipeline
+    from newsloom.streaming.ingest import _CATEGORIES
+
+    now, s = F.lit("2025-01-01").cast("timestamp"), setup(spark)
+    empty = pipeline.State(*(spark.createDataFrame([], x) for x in (schemas.ARTICLE, _CATEGORIES, schemas.SOURCE)))
+    out = pipeline.process(i.page_candidates(spark, sf), empty, s, now)
+    s.rules = s.rules[:-1]
+    done = pipeline.rescore(pipeline.State(out["articles"], out["article_categories"], out["sources"]), s, now)
+    return done["counts"]

@@ -14,7 +14,11 @@ RUNS = "WITH " + i.RUNS_SQL + "\n"
 CHANGES = "WITH " + i.CHANGES_SQL + "\n"
 BACKFILLS = "WITH " + i.BACKFILLS_SQL + "\n"
 STORED = "WITH " + i.STORED_SQL + ", " + i.CHANGES_SQL + "\n"
-NOW = F.col("now")
+
+
+def now_column():
+    return F.col("now")
+
 
 
 def query(name, sql=None):
@@ -33,14 +37,14 @@ def _runs(spark, sf):
 
 @query("runs_24h", RUNS + "SELECT provider, status, count(*) AS n FROM runs, clock WHERE started_at > now - INTERVAL 24 HOUR GROUP BY ALL")
 def _(spark, sf):
-    return stats.runs_24h(_runs(spark, sf), NOW)
+    return stats.runs_24h(_runs(spark, sf), now_column())
 
 
 @query("run_outcomes_24h", RUNS + "".join(
     f"{'UNION ALL ' if k else ''}SELECT '{c}' AS outcome, CAST(coalesce(sum({c}), 0) AS BIGINT) AS n FROM runs, clock WHERE started_at > now - INTERVAL 24 HOUR "
     for k, c in enumerate(stats.OUTCOMES)))
 def _(spark, sf):
-    return stats.run_outcomes(_runs(spark, sf), NOW)
+    return stats.run_outcomes(_runs(spark, sf), now_column())
 
 
 @query("ingestion_summary", RUNS + """SELECT provider, kind, count(*) AS runs, count(*) FILTER (WHERE status = 'failed') AS failed,
@@ -48,7 +52,7 @@ CAST(sum(fetched) AS BIGINT) AS fetched, CAST(sum(accepted) AS BIGINT) AS accept
 CAST(sum(duplicates) AS BIGINT) AS duplicates, CAST(sum(existing) AS BIGINT) AS existing, round(avg(duration_ms)) AS avg_duration_ms
 FROM runs, clock WHERE started_at > now - INTERVAL 24 HOUR GROUP BY ALL""")
 def _(spark, sf):
-    return stats.ingestion_summary(_runs(spark, sf), NOW)
+    return stats.ingestion_summary(_runs(spark, sf), now_column())
 
 
 @query("last_success_age", RUNS + """SELECT coalesce(epoch_us(max(now)) - epoch_us(max(finished_at)), -1000000) / 1000000.0 AS age_seconds
@@ -58,7 +62,7 @@ def _(spark, sf):
     good = i.with_now(runs, "finished_at").filter("status = 'succeeded' AND kind = 'scheduled'")
     # ``now`` is the ledger's own last instant, so it travels with the rows.
     return good.agg(F.max("finished_at").alias("last"), F.max("now").alias("now")).select(
-        F.coalesce(times.seconds_between(NOW, F.col("last")), F.lit(-1.0)).alias("age_seconds")
+        F.coalesce(times.seconds_between(now_column(), F.col("last")), F.lit(-1.0)).alias("age_seconds")
     )
 
 
