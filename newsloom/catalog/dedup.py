@@ -61,7 +61,8 @@ _SIM = "CAST(len(list_intersect(a.tri, b.tri)) / nullif(len(a.tri) + len(b.tri)
 _OK = "NOT (a.nums <> '' AND b.nums <> '' AND a.nums <> b.nums) AND NOT (a.anch AND NOT b.anch)"
 PAIRS_SQL = ROWS_SQL + f""", raw AS (SELECT a.id, b.id AS y, a.nt = b.nt AS exact, CASE WHEN a.nt = b.nt THEN 1.0::FLOAT ELSE coalesce({_SIM}, 0) END AS sim, {_OK} AS guard,
     a.dom, b.dom AS ydom, a.status, b.status AS ystatus, length(a.nt) AS len
-  FROM g a JOIN g b ON b.id < a.id AND b.ts BETWEEN a.ts - INTERVAL 36 HOUR AND a.ts + INTERVAL 36 HOUR AND (b.status = 'accepted' OR a.status = 'pending_review')),
+  FROM g a JOIN g b ON b.id < a.id AND b.ts BETWEEN a.ts - INTERVAL 36 HOUR AND a.ts + INTERVAL 36 HOUR AND (b.status = 'accepted' OR a.status = 'pending_review')
+    AND (a.nt = b.nt OR (len(a.tri) >= 0.75 * len(b.tri) AND len(b.tri) >= 0.75 * len(a.tri)))),
 edges AS (SELECT *, exact OR guard AS ok FROM raw WHERE exact OR (sim >= 0.75 AND len >= 30))
 """
 
@@ -102,6 +103,7 @@ def _(spark, sf):
 
 @query("dedup_near_title", ROWS_SQL + f""", cells AS (SELECT DISTINCT nt, tri, nums, anch, CAST(floor(epoch(ts) / 129600) AS BIGINT) AS bkt FROM g)
 SELECT DISTINCT a.nt AS title, b.nt AS other, round({_SIM}::DOUBLE, 5) AS sim, {_OK} AS ok FROM cells a JOIN cells b ON b.bkt BETWEEN a.bkt - 1 AND a.bkt + 1 AND a.nt <> b.nt
+  AND len(a.tri) >= 0.75 * len(b.tri) AND len(b.tri) >= 0.75 * len(a.tri)
 WHERE length(a.nt) >= 30 AND {_SIM} >= 0.75""")
 def _(spark, sf):
     cells = dedup.title_cells(headlines(spark, sf))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.analysis import STOP_WORDS, exact_tokens, stem
-from newsloom.session import small
+from newsloom.session import materialise, small
 
 # --- fixed values ----------------------------------------------------------------------------
 K1, B = 1.2, 0.75
@@ -38,7 +38,8 @@ def build_terms(docs: DataFrame, field: str, analyzer: str = "exact") -> DataFra
     counted = positions(docs, field, analyzer).groupBy("id", "term").agg(F.count("*").alias("tf"))
     # Lengths come from the counted terms: already grouped by document and term.
     lengths = counted.groupBy("id").agg(F.sum("tf").alias("dl"))
-    return counted.join(lengths, "id")
+    # The term table is read several times per search; written once, it is the index.
+    return materialise(counted.join(lengths, "id"), "terms")
 
 
 def query_terms(queries: DataFrame, analyzer: str = "exact") -> DataFrame:
