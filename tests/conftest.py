@@ -10,6 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from newsloom.session import local_session
 
-    session = local_session("4", "newsloom-tests")
+    session = local_session("4", "newsloom-tests", **{"spark.sql.shuffle.partitions": "2"})
     yield session
     session.stop()
