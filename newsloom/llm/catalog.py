@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import piece_bpe, secrets
+from newsloom.llm import piece_bpe, risk_rules, rule_ensemble, secrets, uniform_shards, url_models
 from newsloom.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -23,7 +23,24 @@ def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(piece_bpe.encode_decode(docs, public_tokenizers.path(PIECE_MODEL)))
 
 
+def op6_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_models.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uniform_shards.place(table(spark, sf_dir, "documents"))
+
+
+def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_ownership, op4_piece_encoding)
+    f.__name__: f for f in (op1_secret_ownership, op4_piece_encoding, op6_url_models, op7_uniform_shards, op8_rule_ensemble,
+                               op10_risk_rules)
 }
 ORACLES: dict[str, str] = {}
