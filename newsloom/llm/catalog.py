@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import piece_bpe, risk_rules, rule_ensemble, secrets, uniform_shards, url_models
+from newsloom.llm import order_minhash, piece_bpe, risk_rules, rule_ensemble, secrets, spaced_seeds, uniform_shards, url_models
 from newsloom.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -18,11 +18,19 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_classes(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return piece_bpe.digests(piece_bpe.encode_decode(docs, public_tokenizers.path(PIECE_MODEL)))
 
 
+def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_models.judge(table(spark, sf_dir, "pages"))
 
@@ -40,7 +48,7 @@ def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_ownership, op4_piece_encoding, op6_url_models, op7_uniform_shards, op8_rule_ensemble,
+    f.__name__: f for f in (op1_secret_ownership, op2_order_minhash, op4_piece_encoding, op5_spaced_seeds, op6_url_models, op7_uniform_shards, op8_rule_ensemble,
                                op10_risk_rules)
 }
 ORACLES: dict[str, str] = {}
