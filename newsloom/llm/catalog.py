@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import order_minhash, piece_bpe, risk_rules, rule_ensemble, secrets, spaced_seeds, uniform_shards, url_models
+from newsloom.llm import (order_minhash, paragraph_minhash, piece_bpe, risk_rules, rule_ensemble, secrets, spaced_seeds, suffix_dedup,
+                          uniform_shards, url_models)
 from newsloom.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -22,6 +23,10 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_classes(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op3_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_minhash.repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return piece_bpe.digests(piece_bpe.encode_decode(docs, public_tokenizers.path(PIECE_MODEL)))
@@ -43,12 +48,16 @@ def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.deduplicate(table(spark, sf_dir, "documents")))
+
+
 def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_ownership, op2_order_minhash, op4_piece_encoding, op5_spaced_seeds, op6_url_models, op7_uniform_shards, op8_rule_ensemble,
-                               op10_risk_rules)
+    f.__name__: f for f in (op1_secret_ownership, op2_order_minhash, op3_paragraph_minhash, op4_piece_encoding, op5_spaced_seeds,
+                               op6_url_models, op7_uniform_shards, op8_rule_ensemble, op9_suffix_dedup, op10_risk_rules)
 }
 ORACLES: dict[str, str] = {}

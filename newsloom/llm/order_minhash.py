@@ -10,8 +10,8 @@ Texts that share a sketch are candidates. A banded alignment of their shingle se
 subsequence inside the band that the threshold leaves) verifies them: common shingles in order over all shingles must be
 ``SIMILARITY`` or more. Verified links are joined to classes by connected components.
 
-Large buckets: each bucket first compares its members with one of them only (a star), in ``STARS`` rounds with another centre
-each, and only members of other classes than the centre's after the first. Buckets that then still hold several classes are searched in full, between different classes only: their texts are joined on their rarest shingles (prefix
+Large buckets: each bucket first compares its members with its first text only (a star). Buckets that then still hold several
+classes are searched in full, between different classes only: their texts are joined on their rarest shingles (prefix
 filtering, which misses no similar pair), and the pairs are verified. A link inside a class would not change the result, so no
 link that counts is lost, without caps, and a passage that many texts share does not pair them.
 
@@ -35,8 +35,8 @@ from newsloom.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, KEPT = 40, 8
-#: Star rounds, texts up to which a shingle is not counted as common, and shingles hashed at once.
-STARS, RARE, CHUNK = 3, 8, 50_000
+#: Texts up to which a shingle is not counted as common, and shingles hashed at once.
+RARE, CHUNK = 8, 50_000
 _WORD = re.compile(r"\w+")
 _M = np.uint64(0xFF51AFD7ED558CCD)
 _rng = np.random.default_rng(20)
@@ -237,28 +237,15 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
                    .select("digest", F.col("first.row").alias("id"), F.col("first.key").alias("key"), "sketches"), "near-nodes")
     placed = nodes.select("id", F.explode(F.array_distinct("sketches")).alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", "first")
-    members = stored(placed.join(shared, "bucket"), "near-members")
-    texts, links, classed = None, None, None
-    for turn in range(STARS):
-        if turn == 0:
-            star = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-        else:
-            # The next centre of a bucket that holds several classes is any of its members.
-            centre = loose.groupBy("bucket").agg(F.min_by(F.struct("id", "class"), F.xxhash64("id", "bucket", F.lit(turn))).alias("c")).select(
-                "bucket", F.col("c.id").alias("centre"), F.col("c.class").alias("its"))
-            star = (loose.join(centre, "bucket").where("class <> its")
-                    .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
-        star = stored(star, "near-star")
-        if turn == 0:
-            wanted = nodes.join(star.select(F.col("a").alias("id")).union(star.select("b")).distinct(), "id").select("id", "key", "digest")
-            texts = texts_of(docs, stored(wanted, "near-wanted"), key, text)
-        new = verified(star, texts, least)
-        links = new if links is None else links.union(new)
-        roots = components(links)
-        classed = stored(members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("class")), "near-classed")
-        open_ = classed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("bucket")
-        loose = stored(classed.join(open_, "bucket", "left_semi"), "near-open")
-    loose = stored(loose.select("id", "class").distinct(), "near-loose")
+    members = stored(placed.join(broadcast_if_small(stored(shared, "near-buckets")), "bucket"), "near-members")
+    star = stored(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "near-star")
+    wanted = nodes.join(star.select(F.col("a").alias("id")).union(star.select("b")).distinct(), "id").select("id", "key", "digest")
+    texts = texts_of(docs, stored(wanted, "near-wanted"), key, text)
+    links = verified(star, texts, least)
+    roots = components(links).withColumnRenamed("node", "id")
+    classed = stored(members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("class")), "near-classed")
+    mixed_ = classed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("bucket")
+    loose = stored(classed.join(mixed_, "bucket", "left_semi").select("id", "class").distinct(), "near-loose")
     pairs = prefix_pairs(texts.join(loose.select("id"), "id", "left_semi"), loose, least)
     links = links.union(verified(stored(pairs, "near-pairs"), texts, least))
     roots = components(links).withColumnRenamed("node", "id").withColumnRenamed("root", "class")
