@@ -20,7 +20,7 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_minhash.near_classes(table(spark, sf_dir, "documents")).drop("row")
+    return order_minhash.near_classes(table(spark, sf_dir, "documents"))
 
 
 def op3_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

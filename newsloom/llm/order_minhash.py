@@ -230,8 +230,8 @@ def prefix_pairs(texts: DataFrame, classes: DataFrame, least: float = SIMILARITY
     return side("a").join(side("b"), "mark").where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """key, class_id (the smallest key of the class) and is_kept (the first row of the class) for every row."""
+def classes_of_rows(docs: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """key, row, digest, class_id (the smallest key of the class) and is_kept (one row of the class with that key) of every row."""
     found = sketched(docs, key, text)
     nodes = stored(found.where("digest is not null").groupBy("digest").agg(F.min(F.struct("row", "key")).alias("first"), F.first("sketches").alias("sketches"))
                    .select("digest", F.col("first.row").alias("id"), F.col("first.key").alias("key"), "sketches"), "near-nodes")
@@ -250,7 +250,18 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     links = links.union(verified(stored(pairs, "near-pairs"), texts, least))
     roots = components(links).withColumnRenamed("node", "id").withColumnRenamed("root", "class")
     grouped = stored(nodes.join(roots, "id", "left").select("digest", F.coalesce("class", "id").alias("class")), "near-roots")
-    rows = found.join(grouped, "digest", "left").select("key", "row", F.coalesce("class", "row").alias("class"))
-    names = rows.groupBy("class").agg(F.min("key").alias("class_id"), F.min("row").alias("first"))
-    return (rows.join(names, "class").select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"),
-                                            (F.col("row") == F.col("first")).alias("is_kept"), "row"))
+    rows = found.join(grouped, "digest", "left").select("key", "row", "digest", F.coalesce("class", "row").alias("class"))
+    names = rows.groupBy("class").agg(F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "row")).alias("first"))
+    return rows.join(names, "class").select("key", "row", "digest", F.col("first.key").alias("class_id"), (F.col("row") == F.col("first.row")).alias("is_kept"))
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """key, class_id (the smallest key of the class) and is_kept (true for one row of each class) for every row."""
+    return classes_of_rows(docs, key, text, least).select(F.col("key").alias(key), "class_id", "is_kept")
+
+
+def first_of_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that give their class its name, unchanged. Rows are known by key and text: repeated rows with the
+    same key and text stay together, and a null key stays."""
+    gone = classes_of_rows(docs, key, text, least).where(F.col("class_id") != F.col("key")).select(F.col("key").alias("its_key"), "digest").distinct()
+    return docs.join(gone, (docs[key] == gone["its_key"]) & (_digest(docs[text]) == gone["digest"]), "left_anti")

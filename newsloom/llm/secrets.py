@@ -133,15 +133,17 @@ def digests(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", marker: str = "[SECRET]") -> DataFrame:
-    """The same rows with the findings of every text replaced by ``marker``, except copied examples.
-    Keys must be unique for this; texts without findings are unchanged. Spans of a text may overlap; their union is cut."""
-    spans = (scan(docs.select(key, text, owner), key, text, owner, key)
-             .select(key, F.expr("filter(spans, x -> x.class <> 'example')").alias("spans")).where("size(spans) > 0"))
-    cut = """aggregate(spans, named_struct('at', 0L, 'out', ''),
+    """The same rows with the findings of every text replaced by ``marker``, except copied examples. Findings meet their rows by
+    the digest of the text, so keys may repeat or be null. Spans of a text may overlap; their union is cut. Null texts stay null."""
+    named = docs.select(F.md5(text).alias("redact__digest"), F.col(text).alias("text"), F.col(owner).alias("owner"), F.col(key).alias("repository"))
+    spans = (scan(named.where("text is not null"), "redact__digest", "text", "owner", "repository")
+             .select(F.col("redact__digest"), F.expr("filter(spans, x -> x.class <> 'example')").alias("redact__spans"))
+             .where("size(redact__spans) > 0").dropDuplicates(["redact__digest"]))
+    word = "'" + marker.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    cut = f"""aggregate(redact__spans, named_struct('at', 0L, 'out', ''),
       (a, x) -> if(x.end <= a.at, a, named_struct('at', x.end, 'out', if(x.start < a.at, a.out,
-        concat(a.out, substring(body, cast(a.at + 1 as int), cast(x.start - a.at as int)), mark)))),
-      a -> concat(a.out, substring(body, cast(a.at + 1 as int))))"""
-    columns = docs.columns
-    joined = docs.withColumn("body", F.col(text)).withColumn("mark", F.lit(marker)).join(spans, key, "left")
-    clean = joined.withColumn(text, F.when(F.col("spans").isNull(), F.col("body")).otherwise(F.expr(cut)))
-    return clean.select(*columns)
+        concat(a.out, substring(`{text}`, cast(a.at + 1 as int), cast(x.start - a.at as int)), {word})))),
+      a -> concat(a.out, substring(`{text}`, cast(a.at + 1 as int))))"""
+    joined = docs.join(spans, F.md5(docs[text]) == spans["redact__digest"], "left")
+    clean = F.when(F.col("redact__spans").isNull(), F.col(text)).otherwise(F.expr(cut))
+    return joined.select(*[clean.alias(c) if c == text else docs[c] for c in docs.columns])
