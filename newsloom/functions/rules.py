@@ -60,11 +60,11 @@ class RelevanceConfig:
             raise ValueError("review_threshold must not exceed accept_threshold")
 
 
-def rules_from(table: DataFrame) -> list[Rule]:
-    """Enabled rules of a RULE table in id order. Configuration only: refuses a large table."""
-    rows = table.filter("enabled").orderBy("id").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+def rules_from(table: DataFrame, max_rules: int = MAX_RULES) -> list[Rule]:
+    """Enabled rules of a RULE table in id order. Rules become expressions, so more than ``max_rules`` are refused."""
+    rows = table.filter("enabled").orderBy("id").limit(max_rules + 1).collect()
+    if len(rows) > max_rules:
+        raise ValueError(f"more than {max_rules} rules")
     return [
         Rule(r.name, r.rule_type, r.pattern, r.weight, tuple(r.fields), r.pattern_b, r.max_distance)
         for r in rows

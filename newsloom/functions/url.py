@@ -32,7 +32,6 @@ _QUERY = r"^[^?#]*\?([^#]*)"
 _FRAGMENT = r"(#.*)$"
 _UNSAFE_IN_PATH = "[^!-~]|[\"<>`{}^]"
 _UNSAFE_IN_QUERY = "[^!-~]|[\"<>']"
-_PARENT = r"^((?:/[^/]*)*?)/(?!\.\.(?:/|$))[^/]*/\.\.(?=/|$)"
 
 
 def _escape_chars(text: Column, unsafe: str) -> Column:
@@ -46,14 +45,22 @@ def _escape_chars(text: Column, unsafe: str) -> Column:
 
 
 def _browser_path(raw: Column) -> Column:
-    # Dot segments go away (up to four nested parents); the path is never empty.
+    # Dot segments go away at any depth, written out or as %2e; the path is never empty.
     def undotted(p: Column) -> Column:
-        flat = F.regexp_replace(p, r"/\.(?=/|$)", "")
-        for _ in range(4):
-            flat = F.regexp_replace(flat, _PARENT, "$1")
-        return flat
+        parts = F.split(p, "/", -1)
+        last = F.size(parts) - 1
+        named = F.transform(parts, lambda part, i: F.struct(part.alias("part"), F.replace(F.lower(part), F.lit("%2e"), F.lit(".")).alias("dots"), (i == last).alias("last")))
 
-    plain = let(F.translate(raw, "\\", "/"), lambda p: F.when(p.contains("/."), undotted(p)).otherwise(p))
+        def step(stack: Column, x: Column) -> Column:
+            up = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
+            kept = F.when(x.dots == "..", up).when(x.dots == ".", stack).otherwise(F.array_append(stack, x.part))
+            return F.when(x.dots.isin(".", "..") & x.last, F.array_append(kept, F.lit(""))).otherwise(kept)
+
+        # The path starts with a slash, so its first part is empty and stays below the stack.
+        rest = F.aggregate(F.slice(named, F.lit(2), F.greatest(last, F.lit(0))), F.array().cast("array<string>"), step)
+        return F.when(p.startswith("/"), F.concat(F.lit("/"), F.array_join(rest, "/"))).otherwise(p)
+
+    plain = let(F.translate(raw, "\\", "/"), lambda p: F.when(p.rlike(r"(?i)/(\.|%2e)"), undotted(p)).otherwise(p))
     return _escape_chars(let(plain, lambda p: F.when(p == "", "/").otherwise(p)), _UNSAFE_IN_PATH)
 
 
