@@ -160,8 +160,8 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     rows = rows.where(F.col("id").isNotNull() & (F.length("body") >= LENGTH)).withColumn("digest", F.unhex(F.md5("body")))
     firsts = stored(rows.select("digest", "id", F.length("body").alias("n")).groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n")), "suffix-texts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
-    batches = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BATCH_BYTES))
-    buckets = batches
+    # Few buckets, so that a batch of rows sends large blobs: their number grows with the text, not with the partitions.
+    batches, buckets = max(24, -(-total // BATCH_BYTES)), max(24, -(-total // (4 * BATCH_BYTES)))
     distinct = (rows.join(broadcast_if_small(firsts.drop("n")), "digest").where("id = first")
                 .withColumn("batch", F.pmod(F.xxhash64("digest"), F.lit(batches))).select("batch", "id", "digest", "body"))
 
@@ -239,8 +239,12 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     hot = (each.join(lowest, ["name", "window"]).where("low < first").groupBy("name", "segment")
            .agg(F.transform(F.collect_list("p"), lambda p: F.array(p, p + 1)).alias("windows")))
     windows = stored(sorted_.union(hot), "suffix-windows")
-    lost = cut.join(single.select("name", "segment", "first"), ["name", "segment"]).join(windows, ["name", "segment"], "left")
-    whole = F.array(F.array(F.lit(0).cast("long"), (F.length("segment") - LENGTH + 1).cast("long")))
+    # Back to the texts: (name, hash of the segment) stands for a segment, 112 bits in all.
+    code = F.xxhash64("segment").alias("code")
+    known = stored(single.select("name", code, "first").join(windows.select("name", code, "windows"), ["name", "code"], "left"), "suffix-known")
+    lost = (cut.select("name", code, "digest", "id", "start", F.length("segment").alias("size"))
+            .join(known, ["name", "code"]).where((F.col("id") > F.col("first")) | F.col("windows").isNotNull()))
+    whole = F.array(F.array(F.lit(0).cast("long"), (F.col("size") - LENGTH + 1).cast("long")))
     spans = F.transform(F.when(F.col("id") > F.col("first"), whole).otherwise(F.col("windows")),
                         lambda w: F.struct((F.col("start") + w[0]).alias("s"), (F.col("start") + w[1] + LENGTH - 1).alias("e")))
     merged = """aggregate(found, cast(array() as array<struct<s:bigint,e:bigint>>), (a, x) ->
@@ -253,18 +257,23 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, spans (removed byte ranges) and kept (the remaining bytes) for every row."""
-    lost = removals(docs, key, text).withColumnRenamed("digest", "its")
-    rows = docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+    """key, n_bytes, spans (removed byte ranges) and kept (the remaining bytes) for every row. Only texts that lose a part are
+    moved to their spans; a text that goes or stays as a whole needs none."""
+    lost = removals(docs, key, text)
+    rows = docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")).withColumn("digest", F.unhex(F.md5("body")))
+    told = broadcast_if_small(stored(lost.select("digest", "first", F.col("spans").isNotNull().alias("partly")), "suffix-told"))
+    known = rows.join(told, "digest", "left")
+    span = "array<struct<s:bigint,e:bigint>>"
+    cut = (F.col(key) == F.col("first")) & F.col("partly")
     n = F.length("body").cast("long")
-    found = rows.withColumn("digest", F.unhex(F.md5("body"))).join(lost, F.col("digest") == F.col("its"), "left")
-    none = "cast(array() as array<struct<s:bigint,e:bigint>>)"
-    found = found.select(key, "body", n.alias("n_bytes"), F.expr(
-        f"case when {key} > first then array(named_struct('s', 0L, 'e', cast(length(body) as bigint))) when {key} = first then coalesce(spans, {none}) else {none} end").alias("spans"))
+    plain = known.where(~F.coalesce(cut, F.lit(False))).select(key, n.alias("n_bytes"), F.expr(
+        f"if(coalesce(`{key}` > first, false), array(named_struct('s', 0L, 'e', cast(length(body) as bigint))), cast(array() as {span}))").alias("spans"),
+        F.when(F.coalesce(F.col(key) > F.col("first"), F.lit(False)), F.lit(b"")).otherwise(F.col("body")).alias("kept"))
     kept = """aggregate(spans, named_struct('at', 0L, 'out', cast('' as binary)),
         (a, x) -> named_struct('at', x.e, 'out', concat(a.out, substring(body, cast(a.at + 1 as int), cast(x.s - a.at as int)))),
         a -> concat(a.out, substring(body, cast(a.at + 1 as int))))"""
-    return found.select(key, "n_bytes", "spans", F.when(F.size("spans") == 0, F.col("body")).otherwise(F.expr(kept)).alias("kept"))
+    parts = known.where(cut).select(key, "digest", "body").join(lost.where("spans is not null").select("digest", "spans"), "digest")
+    return plain.union(parts.select(key, n.alias("n_bytes"), "spans", F.expr(kept).alias("kept")))
 
 
 def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
