@@ -1,4 +1,4 @@
-"""The curation scenario end to end: batches, replay, stream, rescoring."""
+"""Curation end to end: a ferry strike read in batches, replayed, streamed, and judged again under other rules."""
 
 import datetime as dt
 
@@ -11,44 +11,38 @@ from newsloom.plans import news, pipeline, stats
 from newsloom.plans.pipeline import Setup, State, apply_rows
 from newsloom.streaming import ingest
 
-NOW = dt.datetime(2026, 9, 18, tzinfo=dt.timezone.utc)
-MAYOR = "Port Alder mayor Okafor announces free bus travel for women across the city"
+NOW = dt.datetime(2025, 3, 9, 18, tzinfo=dt.timezone.utc)
+AT = "2025-03-09 18:00:00"
+STRIKE = "Ferry crews on the northern line vote to strike over winter rosters"
 
 
-def setup_of(spark):
+def setup_of(spark, ferry_weight=55.0):
     rules = [
-        Rule("mayor", "regex", r"\b(mayor) (a )?okafor\b(?! (brothers|street)\b)", 45.0),
-        Rule("city", "phrase", "port alder", 10.0),
-        Rule("near-council", "proximity", "okafor", 15.0, ("title", "url"), "council|city", 8),
-        Rule("film", "regex", r"\b(movie|trailer)\b", -20.0, ("title", "url")),
-        Rule("name", "regex", r"\bokafor\b", 12.0),
+        Rule("ferry", "phrase", "ferry crews", ferry_weight, ("title",)),
+        Rule("union", "regex", r"\bunion\b", 60.0),
+        Rule("sport", "phrase", "regatta", -70.0, ("title", "url")),
     ]
-    cats = [(1, "transport", "Transport", 10, True, True, 1.0), (2, "health", "Health", 20, True, True, 1.0), (9, "general", "General", 200, False, True, 1.0)]
-    words = [(1, 1, "phrase", "bus", ["title"], 1.0, True), (2, 2, "phrase", "hospital", ["title", "url"], 1.0, True)]
+    cats = [(4, "labour", "Labour", 10, True, True, 1.0), (9, "general", "General", 200, False, True, 1.0)]
+    words = [(1, 4, "phrase", "strike", ["title"], 1.0, True)]
     return Setup(
-        rules, {1: 35.0, 2: 30.0}, RelevanceConfig(50.0, 30.0, r"\bokafor\b", country_boosts={"norway": 3.0}),
+        rules, {7: 20.0, 8: 25.0}, RelevanceConfig(50.0, 30.0, r"\bferry\b"),
         spark.createDataFrame(cats, schemas.CATEGORY), spark.createDataFrame(words, schemas.CATEGORY_RULE),
     )
 
 
-def candidate(arrival, hours=2, **over):
+def item(arrival, title=STRIKE, url=None, hours=5, **more):
     when = (NOW - dt.timedelta(hours=hours)).strftime("%Y%m%dT%H%M%SZ")
-    row = {"provider": "gdelt-doc", "url": "https://www.thepost.org/news/city/bus-story/article1.htm", "title": MAYOR, "published_at": when,
-           "language": "English", "source_country": "Norway", "niche_id": 1, "run_id": 1, "arrival": arrival}
-    return [{**row, **over}.get(n) for n in schemas.CANDIDATE.names]
-
-
-FIRST = [candidate(1)]
-SECOND = [
-    candidate(2), candidate(3, url="http://thepost.org/news/city/bus-story/article1.htm/amp/?utm_source=x"),
-    candidate(4, url="https://m.thepost.org/news/city/bus-story/article1.htm#top"),
-    candidate(5, 1, url="https://www.dailybeacon.com/mayor-free-bus/", title="Port Alder mayor Okafor announces free bus travel for women across city"),
-    candidate(6, url="https://films.in/movies/okafor-trailer", title="Okafor brothers new movie trailer released today"),
-    candidate(7, url="nope"),
-]
-THIRD = [
-    candidate(10 + k, 10 + k, url=f"https://www.cityexpress.com/2026/mayor-hospital-{k}", title=f"Mayor Okafor opens new hospital number {k} in district {chr(65 + k)} of Port Alder city")
-    for k in range(7)
+    row = {"provider": "gdelt-doc", "url": url or f"https://paper{arrival}.example.net/items/{arrival}", "title": title, "published_at": when,
+           "language": "English", "source_country": "Iceland", "niche_id": 3, "run_id": 2, "arrival": arrival}
+    return [{**row, **more}.get(n) for n in schemas.CANDIDATE.names]
+
+
+BATCHES = [
+    # A representative, its equal headline elsewhere, its near headline that also names the union, and a race report.
+    [item(1), item(2, url="https://tribune.example.net/a"), item(3, STRIKE + " says union", url="https://gazette.example.net/b"),
+     item(4, "Ferry crews cheer as the regatta reaches the harbour at dusk", url="https://gazette.example.net/regatta")],
+    # The first address again with a tracking parameter, an unusable address, and a late article, older than all others.
+    [item(5, url="https://paper1.example.net/items/1?utm_campaign=q"), item(6, url="mailto:x"), item(7, "Ferry crews return to work after a quiet night in port", hours=70)],
 ]
 
 
@@ -56,71 +50,73 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, schemas.CANDIDATE)
 
 
+def now():
+    return F.lit(AT).cast("timestamp")
+
+
 @pytest.fixture(scope="module")
-def stored(spark, tmp_path_factory):
-    root = str(tmp_path_factory.mktemp("state"))
-    run = ingest.store_batch(root, setup_of(spark), F.lit("2026-09-18").cast("timestamp"))
-    for n, rows in enumerate((FIRST, SECOND, THIRD)):
+def root(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("curated"))
+    run = ingest.store_batch(path, setup_of(spark), now())
+    for n, rows in enumerate(BATCHES):
         run(frame(spark, rows), n)
-    run(frame(spark, SECOND), 1)  # a replayed batch
-    return root
-
-
-def outcome_counts(spark, root):
-    return {(r.batch, r.outcome): r["count"] for r in ingest.read_outcomes(spark, root).groupBy("batch", "outcome").count().collect()}
-
-
-def test_scenario(spark, stored):
-    state = ingest.read_state(spark, stored)
-    assert {r.status: r.n for r in stats.articles_by_status(state.articles).collect()} == {"accepted": 8, "duplicate": 1, "rejected": 1}
-    assert outcome_counts(spark, stored) == {
-        (0, "accepted"): 1, (1, "existing"): 3, (1, "duplicate"): 1, (1, "rejected"): 1, (1, "invalid"): 1, (2, "accepted"): 7,
-    }
-    copy = state.articles.filter("status = 'duplicate'").first()
-    assert copy.duplicate_of_id == 1 and copy.duplicate_reason.startswith("syndicated_near")
-    coverage = news.also_reported_by(state.articles).collect()
-    assert [(r.article_id, r.source_domain) for r in coverage] == [(1, "dailybeacon.com")]
-    cats = spark.createDataFrame([(1, "transport", "T", 10, True, True, 1.0), (2, "health", "H", 20, True, True, 1.0)], schemas.CATEGORY)
-    seen, after = [], None
-    for _ in range(4):
-        page = news.news_list(state.articles, state.article_categories, cats, 1, category="health", after=after, limit=3).orderBy("position").collect()
-        seen += [r.id for r in page]
-        assert all("health" in r.categories for r in page)
-        if not page or not page[0].has_more:
-            break
-        after = (page[-1].published_at, page[-1].id)
-    assert seen == [10, 11, 12, 13, 14, 15, 16]
-    accepted = state.articles.filter("status = 'accepted'")
-    assert news.title_all_words(accepted, "hospital district").count() == 7
-    assert news.title_all_words(accepted, "hospital 100%_").count() == 0
-
-
-def test_rescoring_changes_nothing(spark, stored):
-    state = ingest.read_state(spark, stored)
-    out = pipeline.rescore(state, setup_of(spark), F.lit("2026-09-18").cast("timestamp"))
-    counts = out["counts"].first()
-    assert (counts.processed, counts.changed) == (10, 0)
-
-
-def test_new_evidence_promotes(spark):
-    setup, now = setup_of(spark), F.lit("2026-09-18").cast("timestamp")
+    run(frame(spark, BATCHES[0]), 0)  # replayed after a later batch
+    return path
+
+
+def view(articles):
+    return {r.id: (r.status, r.duplicate_of_id) for r in articles.collect()}
+
+
+def test_batches_and_replay(spark, root):
+    state = ingest.read_state(spark, root)
+    assert view(state.articles) == {1: ("accepted", None), 2: ("duplicate", 1), 3: ("duplicate", 1), 4: ("rejected", None), 7: ("accepted", None)}
+    assert {r.status: r.n for r in stats.articles_by_status(state.articles).collect()} == {"accepted": 2, "duplicate": 2, "rejected": 1}
+    seen = {(r.batch, r.outcome): r["count"] for r in ingest.read_outcomes(spark, root).groupBy("batch", "outcome").count().collect()}
+    assert seen == {(0, "accepted"): 1, (0, "duplicate"): 2, (0, "rejected"): 1, (1, "existing"): 1, (1, "invalid"): 1, (1, "accepted"): 1}
+    coverage = {(r.article_id, r.source_domain) for r in news.also_reported_by(state.articles).collect()}
+    assert coverage == {(1, "tribune.example.net"), (1, "gazette.example.net")}
+
+
+def test_unchanged_rules_change_nothing(spark, root):
+    out = pipeline.rescore(ingest.read_state(spark, root), setup_of(spark), now())
+    assert tuple(out["counts"].first()) == (5, 0)
+
+
+def test_copies_are_released_with_their_representative(spark, root):
+    """Without weight on the crews, only the headline that names the union still counts: it leaves its rejected representative."""
+    state = ingest.read_state(spark, root)
+    out = pipeline.rescore(state, setup_of(spark, ferry_weight=0.0), now())
+    assert view(out["articles"]) == {1: ("rejected", None), 2: ("rejected", None), 3: ("accepted", None), 4: ("rejected", None), 7: ("rejected", None)}
+    assert {r.article_id for r in out["changes"].collect()} == {1, 3, 7}
+    # And back again: the earlier article is accepted and takes its copies.
+    again = pipeline.rescore(State(apply_rows(state.articles, out["articles"], ["id"]), state.article_categories, state.sources), setup_of(spark), now())
+    assert view(again["articles"]) == view(state.articles)
+
+
+def test_one_publisher_releases_copies_elsewhere(spark, root):
+    state = ingest.read_state(spark, root)
+    placed = state.articles.withColumn("source_id", F.when(F.col("id") == 1, 11).otherwise(12).cast(schemas.ARTICLE["source_id"].dataType))
+    out = pipeline.rescore(State(placed, state.article_categories, state.sources), setup_of(spark, ferry_weight=0.0), now(), source_id=11)
+    assert view(out["articles"]) == {1: ("rejected", None), 2: ("rejected", None), 3: ("accepted", None)}
+
+
+def test_late_evidence_promotes_an_article_without_any(spark):
     empty = State(*(spark.createDataFrame([], s) for s in (schemas.ARTICLE, ingest._CATEGORIES, schemas.SOURCE)))
-    weak = dict(url="https://a.org/news/1", title="Okafor attends a wedding in the old town hall", source_country=None)
-    one = pipeline.process(frame(spark, [candidate(1, **weak)]), empty, setup, now)
-    assert [r.status for r in one["articles"].collect()] == ["rejected"]
-    state = State(one["articles"], one["article_categories"], one["sources"])
-    two = pipeline.process(frame(spark, [candidate(2, matched_query_id=1, **weak), candidate(3, matched_query_id=2, **weak)]), state, setup, now)
-    rows = apply_rows(state.articles, two["articles"], ["id"]).collect()
-    assert [(r.id, r.status, r.matched_query_ids) for r in rows] == [(1, "accepted", [1, 2])]
-    assert [r.article_id for r in two["changes"].collect()] == [1]
-
-
-def test_stream_equals_batches(spark, stored, tmp_path):
-    landing, root = str(tmp_path / "landing"), str(tmp_path / "out")
-    setup, now = setup_of(spark), F.lit("2026-09-18").cast("timestamp")
-    for rows in (FIRST, SECOND, THIRD):
+    plain = dict(title="Lighthouse keepers gather for their yearly dinner by the sea", url="https://coast.example.net/dinner", source_country=None)
+    one = pipeline.process(frame(spark, [item(1, **plain)]), empty, setup_of(spark), now())
+    assert view(one["articles"]) == {1: ("rejected", None)}
+    stored = one["articles"].withColumn("matched_query_ids", F.lit(None).cast("array<int>"))
+    state = State(stored, one["article_categories"], one["sources"])
+    two = pipeline.process(frame(spark, [item(2, matched_query_id=7, **plain), item(3, matched_query_id=8, **plain)]), state, setup_of(spark), now())
+    assert [(r.id, r.status, r.matched_query_ids) for r in two["articles"].collect()] == [(1, "pending_review", [7, 8])]
+
+
+def test_stream_equals_batches(spark, root, tmp_path):
+    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    for rows in BATCHES:
         frame(spark, rows).coalesce(1).write.mode("append").parquet(landing)
-        ingest.stream_ingest(spark, landing, root, str(tmp_path / "ck"), setup, now).awaitTermination()
+        ingest.stream_ingest(spark, landing, out, str(tmp_path / "ck"), setup_of(spark), now()).awaitTermination()
     columns = ["id", "status", "duplicate_of_id", "duplicate_reason", "relevance_score", "url_hash"]
-    got = {tuple(r) for r in ingest.current(spark, root, "articles").select(*columns).collect()}
-    assert got == {tuple(r) for r in ingest.current(spark, stored, "articles").select(*columns).collect()}
+    tables = [{tuple(r) for r in ingest.current(spark, p, "articles").select(*columns).collect()} for p in (out, root)]
+    assert tables[0] == tables[1]

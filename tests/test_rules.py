@@ -8,8 +8,8 @@ from newsloom.operators.relevance import score_relevance
 
 
 def test_word_boundary_is_ascii(spark):
-    df = spark.createDataFrame([("ébus busé bus",)], "t STRING")
-    n = df.select(F.regexp_count("t", F.lit(rules.java_pattern(r"\bbus\b")))).first()[0]
+    df = spark.createDataFrame([("étram tramé tram",)], "t STRING")
+    n = df.select(F.regexp_count("t", F.lit(rules.java_pattern(r"\btram\b")))).first()[0]
     assert n == 3
 
 
@@ -20,19 +20,19 @@ def score(spark, title, rule, entities=None, ids=None, weights=None):
 
 
 def test_proximity(spark):
-    rule = Rule("p", "proximity", "okafor", 50.0, ("title",), "council", 3)
-    assert score(spark, "Okafor expands his council", rule).relevance_score == 50.0
-    assert score(spark, "Okafor said many things today about the new council", rule).relevance_score == 0.0
+    rule = Rule("p", "proximity", "lantern", 50.0, ("title",), "market", 3)
+    assert score(spark, "Lantern lights the market", rule).relevance_score == 50.0
+    assert score(spark, "Lantern makers met many people during the new market", rule).relevance_score == 0.0
 
 
 def test_phrase_never_spans_two_entities(spark):
-    rule = Rule("m", "phrase", "mayor okafor", 45.0)
-    assert [s.rule for s in score(spark, "x", rule, "City Mayor ; Okafor Smith").relevance_signals] == []
-    assert [s.rule for s in score(spark, "x", rule, "a ; City mayor Okafor ; b").relevance_signals] == ["m"]
+    rule = Rule("m", "phrase", "night market", 45.0)
+    assert [s.rule for s in score(spark, "x", rule, "Old Night ; Market Hall").relevance_signals] == []
+    assert [s.rule for s in score(spark, "x", rule, "a ; Old night Market ; b").relevance_signals] == ["m"]
 
 
 def test_evidence_and_clamp(spark):
-    rule = Rule("b", "phrase", "bus", 90.0)
-    r = score(spark, "bus bus bus bus bus bus", rule, ids=[1, 2, 9], weights={1: 35.0, 2: 30.0})
+    rule = Rule("b", "phrase", "tram", 90.0)
+    r = score(spark, "tram tram tram tram tram tram", rule, ids=[1, 2, 9], weights={1: 35.0, 2: 30.0})
     assert r.relevance_score == 100.0 and r.relevance_status == "relevant"
     assert [(s.rule, s["count"], s.contribution) for s in r.relevance_signals] == [("b", 6, 117.0), ("provider-query-match", 2, 35.0), ("multiple-query-match", 2, 5.0)]
