@@ -11,7 +11,7 @@ from newsloom.functions.rules import RelevanceConfig, Rule, occurrences
 from newsloom.functions import text as t
 from newsloom.operators import categories, quality, relevance, sightings
 from newsloom.operators.normalize import normalize
-from newsloom.session import small
+
 
 QUERIES, ORACLES = {}, {}
 
@@ -88,7 +88,7 @@ WEIGHTS = {1: 35.0, 2: 25.0, 3: 20.0, 4: 10.0}
 def scored_input(spark, sf):
     """Documents joined with their publisher (country fallback and trust)."""
     s = i.sources(spark, sf).select(F.regexp_replace("domain", r"\.example\.org$", "").alias("source"), F.col("country").alias("source_country"), "trust_weight", F.col("status").alias("source_status"))
-    return i.doc_articles(spark, sf).join(small(s), "source")
+    return i.doc_articles(spark, sf).join(s, "source")
 
 
 def _pad(x: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from newsloom import schemas
 from newsloom.functions import text as t
-from newsloom.session import small, use_utc
+from newsloom.session import use_utc
 
 BASE_TIME = "2024-01-01 00:00:00"
 _LONG_TEXTS = ("documents", "pages")
@@ -226,7 +226,7 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
     number = F.substring(F.col("source"), F.lit(4), F.length("source")).cast("int")
     nation = table(spark, sf, "nation").select((F.col("n_nationkey") + 1).alias("id"), F.initcap("n_name").alias("country"))
     distinct = table(spark, sf, "documents").select("source").distinct().withColumn("id", number + 1)
-    return distinct.join(small(nation), "id", "left").select(
+    return distinct.join(nation, "id", "left").select(
         "id", F.concat("source", F.lit(".example.org")).alias("domain"), F.concat(F.lit("Source "), "id").alias("name"), "country",
         F.when(F.col("id") % 7 == 0, "blocked").when(F.col("id") % 5 == 0, "trusted").otherwise("active").alias("status"),
         F.when(F.col("id") % 5 == 0, 5.0).otherwise(0.0).alias("trust_weight"),
@@ -296,7 +296,7 @@ def article_categories(stored: DataFrame) -> DataFrame:
     """Stored assignments: one row per category whose word the headline contains."""
     words = stored.sparkSession.createDataFrame(ASSIGNED_WORDS, "category_id SMALLINT, word STRING")
     tokens = stored.select(F.col("id").alias("article_id"), F.explode(F.array_distinct(t.words(F.col("normalized_title")))).alias("word"))
-    return tokens.join(small(words), "word").select(
+    return tokens.join(words, "word").select(
         "article_id", "category_id", F.lit(2.0).alias("score"),
         F.when(F.col("article_id") % 9 == 0, "manual").otherwise("rule").alias("assigned_by"),
     )

@@ -269,9 +269,9 @@ def _(spark, sf):
 
 @query("backfill_progress", BACKFILLS + """SELECT b.id, b.strategy, count(s.id) FILTER (WHERE s.status = 'done') AS done, count(s.id) FILTER (WHERE s.status = 'skipped') AS skipped,
 count(s.id) FILTER (WHERE s.status = 'failed') AS failed, count(s.id) FILTER (WHERE s.status IN ('pending', 'running')) AS remaining,
-CAST(coalesce(sum(s.matched), 0) AS BIGINT) AS matched FROM backfills b LEFT JOIN slices s ON s.backfill_id = b.id AND s.status <> 'failed' GROUP BY ALL""")
+CAST(coalesce(sum(s.matched), 0) AS BIGINT) AS matched FROM backfills b LEFT JOIN slices s ON s.backfill_id = b.id GROUP BY ALL""")
 def _(spark, sf):
-    p = backfill.backfill_progress(i.backfills(spark, sf), i.slices(spark, sf).filter("status <> 'failed'"))
+    p = backfill.backfill_progress(i.backfills(spark, sf), i.slices(spark, sf))
     return p.select("id", "strategy", "done", "skipped", "failed", "remaining", "matched")
 
 

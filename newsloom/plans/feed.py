@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.session import small
+
 
 # --- fixed values ----------------------------------------------------------------------------
 LATEST_SIZE, SECTION_SIZE = 10, 6
@@ -29,7 +29,7 @@ def feed_sections(articles: DataFrame, article_categories: DataFrame, categories
     feed = categories.filter("enabled AND is_feed_section").select(
         F.col("id").alias("category_id"), F.col("sort_order").cast("int").alias("section_order"), F.col("slug").alias("section")
     )
-    links = article_categories.join(small(feed), "category_id").select(
+    links = article_categories.join(feed, "category_id").select(
         F.col("article_id").alias("id"), "section_order", "section"
     )
 

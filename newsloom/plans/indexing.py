@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.plans.news import categories_agg
 from newsloom.plans.stats import MAX_OUTBOX_ATTEMPTS
-from newsloom.session import small
+
 
 DOCUMENT = [
     "id", "niche", "title", "description", "source_name", "source_domain", "source_country", "categories", "language",
@@ -25,7 +25,7 @@ def search_documents(
         rows = rows.filter(F.col("published_at") >= now - F.expr(f"INTERVAL {int(retention_days)} DAYS"))
     named = niches.select(F.col("id").alias("niche_id"), F.col("slug").alias("niche"))
     return (
-        rows.join(small(named), "niche_id")
+        rows.join(named, "niche_id")
         .join(categories_agg(article_categories, categories), "id", "left")
         .withColumns(
             {"categories": F.coalesce("categories", F.array().cast("array<string>")), "url": F.col("original_url")}

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.session import small
+
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,7 @@ def sources_upsert(sources: DataFrame, sightings: DataFrame) -> DataFrame:
 def source_rename(articles: DataFrame, renames: DataFrame) -> DataFrame:
     """New publisher names ``(source_id, name)`` copied to their articles."""
     new = renames.select("source_id", F.col("name").alias("_name"))
-    return articles.join(small(new), "source_id", "left").withColumn(
+    return articles.join(new, "source_id", "left").withColumn(
         "source_name", F.coalesce("_name", "source_name")
     ).drop("_name")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import fold_phrase
 from newsloom.functions.times import local_day, local_day_bounds
-from newsloom.session import materialise, small
+from newsloom.session import materialise
 
 # --- fixed values ----------------------------------------------------------------------------
 PAGE_DEFAULT, PAGE_MAX = 20, 50
@@ -31,7 +31,7 @@ def before_cursor(published_at, article_id: int) -> Column:
 def in_category(articles: DataFrame, article_categories: DataFrame, categories: DataFrame, slug: str) -> DataFrame:
     """Articles of one enabled category; nothing for an unknown or disabled one."""
     wanted = categories.filter((F.col("slug") == slug) & F.col("enabled")).select(F.col("id").alias("category_id"))
-    members = article_categories.join(small(wanted), "category_id", "left_semi")
+    members = article_categories.join(wanted, "category_id", "left_semi")
     return articles.join(members.select(F.col("article_id").alias("id")), "id", "left_semi")
 
 
@@ -45,7 +45,7 @@ def categories_agg(article_categories: DataFrame, categories: DataFrame) -> Data
     shown = categories.filter("enabled").select(F.col("id").alias("category_id"), "slug", "sort_order")
     slugs = F.array_sort(F.collect_list(F.struct("sort_order", "slug")))
     return (
-        article_categories.join(small(shown), "category_id")
+        article_categories.join(shown, "category_id")
         .groupBy(F.col("article_id").alias("id"))
         .agg(F.transform(slugs, lambda s: s.slug).alias("categories"))
     )
@@ -119,7 +119,7 @@ def all_pages(articles: DataFrame, limit: int = PAGE_DEFAULT) -> DataFrame:
         "part", (F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("part")) - F.col("n")).alias("before")
     )
     position = F.row_number().over(Window.partitionBy("part").orderBy(*order)) + F.col("before")
-    return parts.join(small(offsets), "part").select(
+    return parts.join(offsets, "part").select(
         "id", "published_at", F.floor((position - 1) / limit).cast("long").alias("page"),
         ((position - 1) % limit + 1).cast("long").alias("position"),
     )
@@ -137,7 +137,7 @@ def title_all_words(articles: DataFrame, query: str) -> DataFrame:
 
 
 def id_lookup_many(articles: DataFrame, ids: DataFrame) -> DataFrame:
-    return articles.join(small(ids.select("id").distinct()), "id", "left_semi")
+    return articles.join(ids.select("id").distinct(), "id", "left_semi")
 
 
 def also_reported_by(articles: DataFrame, limit: int = COVERAGE_MAX) -> DataFrame:
@@ -194,7 +194,7 @@ def related_in_category(articles: DataFrame, article_categories: DataFrame, cate
     """
     public = public_articles(articles, niche_id)
     shown = categories.filter("enabled").select(F.col("id").alias("category_id"), "slug", "sort_order")
-    links = article_categories.join(small(shown), "category_id")
+    links = article_categories.join(shown, "category_id")
     member = public.select("id", "published_at").join(links.select(F.col("article_id").alias("id"), "slug"), "id")
     rank = F.row_number().over(Window.partitionBy("slug").orderBy(F.col("published_at").desc(), F.col("id").desc()))
     pool = (
@@ -204,7 +204,7 @@ def related_in_category(articles: DataFrame, article_categories: DataFrame, cate
     main = links.groupBy(F.col("article_id").alias("id")).agg(F.min_by("slug", F.struct("sort_order", "slug")).alias("slug"))
     others = F.slice(F.filter("pool", lambda i: i != F.col("id")), 1, RELATED_MAX)
     return (
-        public.select("id").join(main, "id").join(small(pool), "slug")
+        public.select("id").join(main, "id").join(F.broadcast(pool), "slug")
         .select("id", "slug", F.posexplode(others).alias("rank", "related_id"))
         .withColumn("rank", F.col("rank") + 1)
     )
@@ -246,7 +246,7 @@ def review_article_view(articles: DataFrame, article_categories: DataFrame, cate
     """
     names = categories.select(F.col("id").alias("category_id"), "slug")
     assigned = (
-        article_categories.join(small(names), "category_id")
+        article_categories.join(names, "category_id")
         .groupBy(F.col("article_id").alias("id"))
         .agg(F.array_sort(F.collect_list(F.struct("slug", "score", "assigned_by"))).alias("assigned"))
     )

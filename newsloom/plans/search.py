@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.analysis import STOP_WORDS, exact_tokens, stem
-from newsloom.session import materialise, small
+from newsloom.session import materialise
 
 # --- fixed values ----------------------------------------------------------------------------
 K1, B = 1.2, 0.75
@@ -57,13 +57,13 @@ def bm25_field(terms: DataFrame, queries: DataFrame) -> DataFrame:
     partial sums are combined before the shuffle to (query, document).
     """
     corpus = terms.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    asked = small(queries)
+    asked = queries
     hits = terms.join(asked, "term")
-    df = terms.join(small(queries.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = terms.join(queries.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return (
-        hits.join(small(df), "term").join(F.broadcast(corpus), F.lit(True))
+        hits.join(df, "term").join(F.broadcast(corpus), F.lit(True))
         .groupBy("query_id", "id", "needed").agg(F.sum(idf * weight).alias("score"), F.count("*").alias("matched"))
         .filter(F.col("matched") >= F.col("needed")).select("query_id", "id", "score")
     )
@@ -88,10 +88,10 @@ def phrase_hits(docs: DataFrame, queries: DataFrame, field: str, slop: int) -> D
     """
     q = positions(queries.select(F.col("query_id").alias("id"), "q"), "q").select(F.col("id").alias("query_id"), F.col("pos").alias("i"), "term")
     words = q.groupBy("query_id").agg(F.count("*").alias("words"))
-    at = positions(docs, field).join(small(q), "term").withColumn("start", F.col("pos") - F.col("i"))
+    at = positions(docs, field).join(q, "term").withColumn("start", F.col("pos") - F.col("i"))
     windows = at.withColumn("start", F.explode(F.sequence(F.col("start") - slop, F.col("start"))))
     full = windows.groupBy("query_id", "id", "start").agg(F.count_distinct("i").alias("found"))
-    return full.join(small(words), "query_id").filter(F.col("found") == F.col("words")).select("query_id", "id").distinct()
+    return full.join(words, "query_id").filter(F.col("found") == F.col("words")).select("query_id", "id").distinct()
 
 
 def freshness_decay(published_at: Column, now: Column) -> Column:
@@ -138,7 +138,7 @@ def rank_hits(scored: DataFrame, sort: str = "relevance", limit: int = 20) -> Da
     order = newest if sort == "latest" else [F.col("score").desc(), *newest]
     totals = scored.groupBy("query_id").agg(F.least(F.count("*"), F.lit(TOTAL_MAX)).alias("total"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= limit).join(small(totals), "query_id").select(
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= limit).join(totals, "query_id").select(
         "query_id", "rank", "id", "score", "total"
     )
 
@@ -156,7 +156,7 @@ def suggest(docs: DataFrame, prefixes: DataFrame, limit: int = SUGGESTIONS) -> D
     # Words starting with the prefix share its first one or two letters, the equi-join key.
     first = F.concat(F.transform("words", lambda w: F.substring(w, 1, 1)), F.transform("words", lambda w: F.substring(w, 1, 2)))
     heads = titled.select("title", "words", F.explode(F.array_distinct(first)).alias("head"))
-    found = heads.join(small(q.withColumn("head", F.substring("last", 1, 2))), "head").filter(
+    found = heads.join(q.withColumn("head", F.substring("last", 1, 2)), "head").filter(
         F.exists("words", lambda w: F.startswith(w, F.col("last"))) & (F.size(F.array_except("whole", "words")) == 0)
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("title"))

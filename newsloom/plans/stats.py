@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.times import floor_minutes, seconds_between
-from newsloom.session import small
+
 
 # --- fixed values ----------------------------------------------------------------------------
 STATUSES = ["accepted", "pending_review", "rejected", "duplicate"]
@@ -109,7 +109,7 @@ def run_history(runs: DataFrame, queries: DataFrame, status: str | None = None,
     rows = runs if status is None else runs.filter(F.col("status") == status)
     newest = rows.orderBy(F.col("id").desc()).limit(limit)
     names = queries.select(F.col("id").alias("query_id"), F.col("name").alias("query_name"))
-    return newest.join(small(names), "query_id", "left")
+    return newest.join(names, "query_id", "left")
 
 
 def batch_counts(outcomes: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Session settings, lineage cuts and size-checked broadcasts shared by all jobs."""
+"""Session settings and lineage cuts shared by all jobs."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_MAX_ROWS = 200_000
 
 
 def local_session(cores: str = "*", name: str = "newsloom", **conf: str) -> SparkSession:
@@ -55,12 +52,3 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{scratch_dir(spark)}/newsloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint for configuration-sized tables, only after counting that they are small.
-
-    The count reads at most ``max_rows + 1`` rows. A larger table gets no hint and is joined by
-    shuffle (AQE may still broadcast it by measured bytes).
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
