@@ -57,7 +57,7 @@ class Words:
 
     def of(self, text: str) -> np.ndarray:
         known, words = self.known, _WORD.findall(text.lower())
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             known[w] = int.from_bytes(blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")
         if len(known) > 500_000:
             self.known = {}
