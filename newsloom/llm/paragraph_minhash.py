@@ -97,23 +97,22 @@ def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def line_classes(found: DataFrame) -> DataFrame:
-    """(one, two, class) of every distinct line that has a similar one; stored."""
-    lines = stored(found.where("bands is not null").groupBy("one", "two").agg(F.first("bands").alias("bands"), F.first("line").alias("text"))
-                   .withColumn("id", F.monotonically_increasing_id()), "paragraph-lines")
+    """(one, class) of every line that has a similar one; stored. The first hash of a line is its id here; only the texts
+    of lines that meet another in a band are looked up."""
+    lines = found.where("bands is not null").select(F.col("one").alias("id"), "bands", F.col("line").alias("text"))
     placed = lines.select("id", F.explode("bands").alias("band"))
-    shared = stored(placed.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first"), "paragraph-bands")
-    members = stored(placed.join(broadcast_if_small(shared), "band"), "paragraph-members")
+    shared = stored(placed.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("band", "first"), "paragraph-bands")
+    members = stored(placed.join(broadcast_if_small(shared), "band").distinct(), "paragraph-members")
     star = stored(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "paragraph-star")
-    wanted = members.select("id").distinct()
-    texts = stored(lines.join(wanted, "id").select("id", "text"), "paragraph-texts")
+    wanted = stored(members.select("id").distinct(), "paragraph-wanted")
+    texts = stored(lines.select("id", "text").join(broadcast_if_small(wanted), "id").dropDuplicates(["id"]), "paragraph-texts")
     links = alike(star, texts)
     roots = components(links).withColumnRenamed("node", "id")
     classed = stored(members.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("class")), "paragraph-classed")
     several = classed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band")
     loose = stored(classed.join(several, "band", "left_semi").select("id", "class").distinct(), "paragraph-loose")
     more = stored(prefix_pairs(texts.join(loose.select("id"), "id", "left_semi"), loose), "paragraph-pairs")
-    roots = components(links.union(alike(more, texts))).withColumnRenamed("node", "id")
-    return stored(lines.join(roots, "id").select("one", "two", F.col("root").alias("class")), "paragraph-classes")
+    return stored(components(links.union(alike(more, texts))).select(F.col("node").alias("one"), F.col("root").alias("class")), "paragraph-classes")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,7 +128,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     marked = found.select("id", "start", "end", F.col("bands").isNotNull().alias("is_line"), "one", "two")
     equal = stored(marked.groupBy("is_line", "one", "two").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
                    .drop("last"), "paragraph-equal")
-    joined = classes.join(marked.where("is_line").groupBy("one", "two").agg(F.min("id").alias("least")), ["one", "two"])
+    joined = marked.where("is_line").join(broadcast_if_small(classes), "one").groupBy("one", "two", "class").agg(F.min("id").alias("least"))
     similar_ = joined.join(joined.groupBy("class").agg(F.min("least").alias("first")), "class").select(F.lit(True).alias("is_line"), "one", "two", "first")
     known = stored(equal.union(similar_.select(*equal.columns)).groupBy("is_line", "one", "two").agg(F.min("first").alias("first")), "paragraph-known")
     lost = marked.join(broadcast_if_small(known), ["is_line", "one", "two"]).where("id > first")
