@@ -13,7 +13,7 @@ HEADLINE = [
     "scan_gkg", "normalize_candidates", "dedup_url", "relevance_score", "category_scores", "quality_checks",
     "trigram_similarity", "news_list", "page_keyset", "feed_sections", "home_layout", "also_reported_by",
     "related_in_category", "sources_public", "ingestion_summary", "backfill_plan", "outbox_project", "retention",
-    "bookmark_merge", "bm25_search",
+    "bookmark_merge", "bm25_search", "dedup_assign",
 ]
 
 

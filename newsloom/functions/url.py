@@ -17,10 +17,7 @@ TRACKING_PARAMS = [
 ]
 TRACKING_PREFIXES = ["utm_", "at_", "pk_", "mtm_", "hsa_", "oly_", "vero_", "__"]
 HOST_PREFIXES = ["www", "m", "amp", "mobile"]
-RESERVED_SUFFIXES = [
-    "localhost", "local", "internal", "intranet", "lan", "home", "corp", "localdomain",
-    "invalid", "test", "example",
-]
+RESERVED_SUFFIXES = "localhost|local|internal|intranet|lan|home|corp|localdomain|invalid|test|example"
 URL_MAX = 2048
 # ---------------------------------------------------------------------------------------------
 
@@ -114,7 +111,7 @@ def public_url_reason_of(p: Column) -> Column:
             .when(host.startswith("["), "IP address host")
             .when(~host.contains("."), "host is not a public domain")
             .when(ipv4, "IP address host")
-            .when(host.rlike(r"(^|\.)(" + "|".join(RESERVED_SUFFIXES) + ")$"), "non-public host")
+            .when(host.rlike(r"(^|\.)(" + RESERVED_SUFFIXES + ")$"), "non-public host")
             .when(~p.port.isin("", "80", "443"), "non-standard port")
             .when(p.length > URL_MAX, "URL too long")
         )

@@ -29,10 +29,10 @@ def normalize_language(value: Column) -> Column:
 
 
 def strip_source_suffix(title: Column, domain: Column) -> Column:
-    """``Headline - Publisher | Slogan`` without the publisher part, when it names the domain.
+    """A title without the trailing name of its publisher.
 
-    Only the last two segments can be decoration, the earlier one decides first, and a headline
-    of fewer than 10 characters is never produced.
+    A title is cut before one of its last two separators if what follows directly resembles the domain; the
+    left one is tried first. Titles that would be left with under 10 characters stay whole.
     """
     labels = let(F.split(domain, r"\."), lambda d: F.slice(d, F.lit(1), F.greatest(F.size(d) - 1, F.lit(0))))
 
