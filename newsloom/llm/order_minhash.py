@@ -201,10 +201,10 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     return stored(over_batches(both, ["a", "b", "text_a", "text_b"], schema, run), "near-links")
 
 
-def prefix_pairs(texts: DataFrame, classes: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def prefix_pairs(texts: DataFrame, classes: DataFrame, least: float = SIMILARITY, repeats: bool = True) -> DataFrame:
     """Every pair of different classes that can be similar: similar texts share one of their rarest shingles.
 
-    Of n labelled shingles similar texts share ``least`` n or more, so they share one of the n - ceil(least n) + 1 first in any
+    Shingles count with their repeats, or as a set without ``repeats``. Of n shingles similar texts share ``least`` n or more, so they share one of the n - ceil(least n) + 1 first in any
     common order. The order puts shingles that few of these texts have first, so a passage that many texts share joins
     nothing unless nearly all of a text is such passages."""
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("marks", T.ArrayType(T.LongType()))])
@@ -212,7 +212,8 @@ def prefix_pairs(texts: DataFrame, classes: DataFrame, least: float = SIMILARITY
     def run(batch):
         words = Words()
         for i, t in batch:
-            yield i, labelled(shingles(words.of(t))).view(np.int64).tolist()
+            found = shingles(words.of(t))
+            yield i, (labelled(found) if repeats else np.unique(found)).view(np.int64).tolist()
 
     marks = stored(over_batches(texts, ["id", "text"], schema, run), "near-marks")
     each = marks.select("id", F.size("marks").alias("n"), F.explode("marks").alias("mark"))

@@ -111,7 +111,7 @@ def line_classes(found: DataFrame) -> DataFrame:
     classed = stored(members.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("class")), "paragraph-classed")
     several = classed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band")
     loose = stored(classed.join(several, "band", "left_semi").select("id", "class").distinct(), "paragraph-loose")
-    more = stored(prefix_pairs(texts.join(loose.select("id"), "id", "left_semi"), loose), "paragraph-pairs")
+    more = stored(prefix_pairs(texts.join(loose.select("id"), "id", "left_semi"), loose, repeats=False), "paragraph-pairs")
     return stored(components(links.union(alike(more, texts))).select(F.col("node").alias("one"), F.col("root").alias("class")), "paragraph-classes")
 
 
