@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 # --- fixed values ----------------------------------------------------------------------------
 LATEST_SIZE, SECTION_SIZE = 10, 6
 LATEST_ROWS, SECTION_ROWS, LEAD_CANDIDATES = 5, 3, 4

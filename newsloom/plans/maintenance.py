@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
-
 @dataclass(frozen=True)
 class RetentionPolicy:
     """Days each kind of row is kept."""
