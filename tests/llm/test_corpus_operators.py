@@ -191,6 +191,28 @@ def test_benchmark_overlaps(spark, empty):
     assert spaced_seeds.overlaps(empty, bench).count() == 0 and spaced_seeds.overlaps(df, bench.limit(0)).count() == 0
 
 
+def test_benchmark_overlaps_at_every_offset(spark):
+    rng = random.Random(14)
+    items = [sentence(rng, n) for n in (12, 13, 14, 15, 60)]
+    passage = items[4].split()
+    passages = [*items[:4], *(" ".join(passage[20:20 + n]) for n in (13, 14))]
+    texts, want = [], set()
+    for which, p in enumerate(passages):
+        for offset in range(4):
+            want.add((len(texts), min(which, 4), len(p.split()), len(p.split())))
+            texts.append(f"{' '.join(f'b{k}' for k in range(20 + offset))} {p} {' '.join(f'a{k}' for k in range(9))}")
+    for at in range(4, 11):  # one changed word of 15: the stretch goes over it
+        for offset in range(4):
+            words = items[3].split()
+            words[at] = "other"
+            want.add((len(texts), 3, 15, 14))
+            texts.append(f"{' '.join(f'b{k}' for k in range(20 + offset))} {' '.join(words)} end")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_words, r.n_same) for r in spaced_seeds.overlaps(df, bench).collect()} == want
+    assert spaced_seeds.clean(df, bench).count() == 0
+
+
 def test_url_rules_and_models(spark):
     urls = [f"http://h{i}.example.org/en/{i}" for i in range(60)] + [f"https://h{i}.site.com/de/seite{i}" for i in range(60)]
     urls += [None, "", "no scheme", "ftp://A.B.COM/fr/x?y#z", "http://example.org/es/1", "http://x.example.org/en/17", "http://com/de/", "http://xexample.org/es/",
