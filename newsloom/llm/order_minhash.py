@@ -3,8 +3,10 @@
 Texts are made distinct first. The five-word shingles of a text are labelled with their occurrence number, so that all
 are different. Under each of ``SKETCHES`` hash functions the ``KEPT`` smallest labelled shingles are taken and put in
 text order; the hash of that sequence is one sketch. Two texts share a sketch with a probability that falls with the
-edits and with changes of order between them: at a shingle similarity of 0.8 a sketch is shared with 0.8^8 = 0.17 and
-none of 40 with 0.06 %, while at 0.3 one is shared with 0.3 %.
+edits and with changes of order between them: in long texts of a shingle similarity of 0.8 a sketch is shared with 0.8^8 =
+0.17 and none of 40 with 0.06 %, while at 0.3 one of 40 is shared with 0.3 %. Short texts share fewer (16 common of 20 shingles: none
+with 1.3 %, and texts of at most ``KEPT`` shingles only if these are equal), so texts under ``SHORT`` shingles, and all that can be
+similar to one, are searched exactly, without sketches (below).
 
 Texts that share a sketch are candidates. A banded alignment of their shingle sequences (bit-parallel longest common
 subsequence inside the band that the threshold leaves) verifies them: common shingles in order over all shingles must be
@@ -12,7 +14,7 @@ subsequence inside the band that the threshold leaves) verifies them: common shi
 
 Large buckets: each bucket first compares its members with its first text only (a star). Buckets that then still hold several
 classes are searched in full, between different classes only: their texts are joined on their rarest shingles (prefix
-filtering, which misses no similar pair), and the pairs are verified. A link inside a class would not change the result, so no
+filtering, which misses no similar pair), together with all short texts, and the pairs are verified. A link inside a class would not change the result, so no
 link that counts is lost, without caps, and a passage that many texts share does not pair them.
 
 Defined cases: null and wordless texts are no copies of anything and are their own class (their row's key); texts under
@@ -35,6 +37,8 @@ from newsloom.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, KEPT = 40, 8
+#: Shingles from which sketches are relied on.
+SHORT = 60
 #: Texts up to which a shingle is not counted as common, and shingles hashed at once.
 RARE, CHUNK = 8, 50_000
 _WORD = re.compile(r"\w+")
@@ -158,18 +162,21 @@ def _digest(text: Column) -> Column:
 
 
 def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, row number, digest and sketches (both null for wordless texts) of every row; stored."""
+    """key, row number, digest, sketches and size in shingles (null for wordless texts) of every row; stored."""
     rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), _digest(F.col(text)).alias("digest"),
                        F.col(text).alias("text"))
-    schema = T.StructType([rows.schema["key"], rows.schema["row"], rows.schema["digest"], T.StructField("sketches", T.ArrayType(T.LongType()))])
+    schema = T.StructType([rows.schema["key"], rows.schema["row"], rows.schema["digest"], T.StructField("sketches", T.ArrayType(T.LongType())),
+                           T.StructField("size", T.LongType())])
 
     def run(batch):
         words, last = Words(), {}
         for k, row, digest, t in batch:
             if digest is not None and digest not in last:
                 found = words.of(t)
-                last[digest] = sketches(shingles(found)) if len(found) else None
-            yield k, row, digest if last.get(digest) else None, last.get(digest)
+                cut = shingles(found) if len(found) else found
+                last[digest] = (sketches(cut), len(cut)) if len(found) else None
+            made = last.get(digest)
+            yield k, row, digest if made else None, *(made or (None, None))
 
     return stored(over_batches(rows, ["key", "row", "digest", "text"], schema, run), "near-sketches")
 
@@ -234,19 +241,22 @@ def prefix_pairs(texts: DataFrame, classes: DataFrame, least: float = SIMILARITY
 def classes_of_rows(docs: DataFrame, key: str, text: str, least: float) -> DataFrame:
     """key, row, digest, class_id (the smallest key of the class) and is_kept (one row of the class with that key) of every row."""
     found = sketched(docs, key, text)
-    nodes = stored(found.where("digest is not null").groupBy("digest").agg(F.min(F.struct("row", "key")).alias("first"), F.first("sketches").alias("sketches"))
-                   .select("digest", F.col("first.row").alias("id"), F.col("first.key").alias("key"), "sketches"), "near-nodes")
+    nodes = stored(found.where("digest is not null").groupBy("digest").agg(F.min(F.struct("row", "key")).alias("first"), F.first("sketches").alias("sketches"), F.first("size").alias("size"))
+                   .select("digest", F.col("first.row").alias("id"), F.col("first.key").alias("key"), "sketches", "size"), "near-nodes")
     placed = nodes.select("id", F.explode(F.array_distinct("sketches")).alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", "first")
     members = stored(placed.join(broadcast_if_small(stored(shared, "near-buckets")), "bucket"), "near-members")
     star = stored(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "near-star")
-    wanted = nodes.join(star.select(F.col("a").alias("id")).union(star.select("b")).distinct(), "id").select("id", "key", "digest")
+    # A text under SHORT shingles is similar only to texts under SHORT / least.
+    short = stored(nodes.where(F.col("size") * least < SHORT).select("id"), "near-short")
+    wanted = nodes.join(star.select(F.col("a").alias("id")).union(star.select("b")).union(short).distinct(), "id").select("id", "key", "digest")
     texts = texts_of(docs, stored(wanted, "near-wanted"), key, text)
     links = verified(star, texts, least)
     roots = components(links).withColumnRenamed("node", "id")
     classed = stored(members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("class")), "near-classed")
     mixed_ = classed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("bucket")
-    loose = stored(classed.join(mixed_, "bucket", "left_semi").select("id", "class").distinct(), "near-loose")
+    single = short.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("class"))
+    loose = stored(classed.join(mixed_, "bucket", "left_semi").select("id", "class").union(single).distinct(), "near-loose")
     pairs = prefix_pairs(texts.join(loose.select("id"), "id", "left_semi"), loose, least)
     links = links.union(verified(stored(pairs, "near-pairs"), texts, least))
     roots = components(links).withColumnRenamed("node", "id").withColumnRenamed("root", "class")

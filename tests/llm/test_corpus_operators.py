@@ -138,6 +138,18 @@ def test_near_classes_of_a_large_group(spark):
     assert {r.doc_id: r.class_id for r in order_minhash.near_classes(df).collect()} == dict(enumerate(want))
 
 
+def test_short_near_copies_equal_all_pairs(spark):
+    rng = random.Random(11)
+    texts = []
+    for n in range(8, 31):
+        words = sentence(rng, n).split()
+        texts += [" ".join(w) for w in (words, [*words, "more"], words[1:], [*words[:-1], "last"], [*words[:n // 2], "mid", *words[n // 2:]])]
+    cut = [order_minhash.shingles(order_minhash.Words().of(t)) for t in texts]
+    want = plain_classes(cut, order_minhash.similar)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in order_minhash.near_classes(df).collect()} == dict(enumerate(want))
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
