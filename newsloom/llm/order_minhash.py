@@ -161,9 +161,9 @@ def _digest(text: Column) -> Column:
     return F.when(text.rlike(r"[\p{L}\p{N}_]"), F.unhex(F.md5(text)))
 
 
-def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
+def sketched(docs: DataFrame, key: str, text: str, row: Column | None = None) -> DataFrame:
     """key, row number, digest, sketches and size in shingles (null for wordless texts) of every row; stored."""
-    rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), _digest(F.col(text)).alias("digest"),
+    rows = docs.select(F.col(key).alias("key"), (F.monotonically_increasing_id() if row is None else row).alias("row"), _digest(F.col(text)).alias("digest"),
                        F.col(text).alias("text"))
     schema = T.StructType([rows.schema["key"], rows.schema["row"], rows.schema["digest"], T.StructField("sketches", T.ArrayType(T.LongType())),
                            T.StructField("size", T.LongType())])
@@ -238,9 +238,9 @@ def prefix_pairs(texts: DataFrame, classes: DataFrame, least: float = SIMILARITY
     return side("a").join(side("b"), "mark").where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def classes_of_rows(docs: DataFrame, key: str, text: str, least: float) -> DataFrame:
+def classes_of_rows(docs: DataFrame, key: str, text: str, least: float, row: Column | None = None) -> DataFrame:
     """key, row, digest, class_id (the smallest key of the class) and is_kept (one row of the class with that key) of every row."""
-    found = sketched(docs, key, text)
+    found = sketched(docs, key, text, row)
     nodes = stored(found.where("digest is not null").groupBy("digest").agg(F.min(F.struct("row", "key")).alias("first"), F.first("sketches").alias("sketches"), F.first("size").alias("size"))
                    .select("digest", F.col("first.row").alias("id"), F.col("first.key").alias("key"), "sketches", "size"), "near-nodes")
     placed = nodes.select("id", F.explode(F.array_distinct("sketches")).alias("bucket"))
@@ -272,7 +272,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 
 
 def first_of_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that give their class its name, unchanged. Rows are known by key and text: repeated rows with the
-    same key and text stay together, and a null key stays."""
-    gone = classes_of_rows(docs, key, text, least).where(F.col("class_id") != F.col("key")).select(F.col("key").alias("its_key"), "digest").distinct()
-    return docs.join(gone, (docs[key] == gone["its_key"]) & (_digest(docs[text]) == gone["digest"]), "left_anti")
+    """One row of every class, unchanged: the one that gives the class its name. Rows are known by a stored number, so of rows
+    with the same key and text, or with null keys, one stays as well."""
+    numbered = stored(docs.withColumn("_number", F.monotonically_increasing_id()), "near-rows")
+    gone = stored(classes_of_rows(numbered, key, text, least, F.col("_number")).where("not is_kept").select(F.col("row").alias("_number")), "near-gone")
+    return numbered.join(broadcast_if_small(gone), "_number", "left_anti").select(*docs.columns)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import stored
+from newsloom.llm.common import BROADCAST_ROWS, stored
 
 #: Bound of the labelled rows that are fitted, and size of the ensemble.
 SAMPLE_ROWS, TREES, DEPTH, MIN_LEAF = 20_000, 40, 3, 8
@@ -45,18 +45,20 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
-def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and the statistics of every row."""
-    first = docs.select(F.col(key).alias(key), *[c.alias(n) for n, c in statistics(F.col(text)).items()])
+def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """``key`` and the statistics of every row; with ``whole`` also the row itself, as a struct, and a number."""
+    # The number keeps filters above this projection, so that no rule computes a statistic again.
+    extra = {"_row": F.struct(*[docs[f"`{c}`"] for c in docs.columns]), "_number": F.monotonically_increasing_id()} if whole else {}
+    first = docs.select(F.col(key).alias(key), *[c.alias(n) for n, c in extra.items()], *[c.alias(n) for n, c in statistics(F.col(text)).items()])
     n, lines = F.size("words"), F.size("lines")
     share = lambda part, whole: F.coalesce(part / F.when(whole > 0, whole), F.lit(0.0)).cast("double")
     second = first.select(
-        key, *[c for c in STATISTICS if c in first.columns],
+        key, *extra, *[c for c in STATISTICS if c in first.columns],
         share(F.length(F.array_join("words", "")), n).alias("word_chars"),
         share(n - F.size(F.array_distinct("words")), n).alias("repeated_words"),
         share(lines - F.size(F.array_distinct("lines")), lines).alias("repeated_lines"),
         share(F.size(F.filter("words", lambda w: F.length(w) > 14)), n).alias("long_words"))
-    return second.select(key, *STATISTICS)
+    return second.select(key, *extra, *STATISTICS)
 
 
 @dataclass(frozen=True)
@@ -188,7 +190,8 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows predicted good, unchanged; a key that stands for several texts stays if one of them is good."""
-    stats = stored(measured(docs, key, text), "quality-statistics")
-    good = stats.where(learn(stats, labels, key).column() >= ACCEPT).select(key).distinct()
-    return docs.join(good, key, "left_semi").select(*docs.columns)
+    """The rows predicted good, unchanged: each is judged by its own text, whatever its key is or how often it stands."""
+    known = stored(labels.where(F.col("quality").isin(0, 1) & F.col(key).isNotNull()).select(key).distinct(), "quality-labelled")
+    some = docs.join(F.broadcast(known), key, "left_semi") if known.count() <= BROADCAST_ROWS else docs
+    model = learn(measured(some, key, text), labels, key)
+    return measured(docs, key, text, whole=True).where((model.column() >= ACCEPT) & (F.col("_number") >= 0)).select("_row.*")

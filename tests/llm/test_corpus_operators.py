@@ -301,6 +301,18 @@ def test_rule_ensemble(spark, empty):
     assert rule_ensemble.score(empty, known).count() == 0 and rule_ensemble.score(df, known.limit(0)).count() == df.count()
 
 
+def test_stages_judge_rows_not_keys(spark):
+    rng = random.Random(16)
+    good, bad = ([" ".join(w.upper() + "!!" if k else w for w in sentence(rng, 40).split()) for _ in range(200)] for k in (0, 1))
+    rows = [*enumerate(good), *enumerate(bad, 200), (None, good[0]), (None, bad[0]), (500, good[1]), (500, bad[1])]
+    known = spark.createDataFrame([(i, int(i < 200)) for i in range(400)], "doc_id long, quality int")
+    kept = {tuple(r) for r in rule_ensemble.accepted(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    assert kept == {*enumerate(good), (None, good[0]), (500, good[1])}
+    copies = [(1, good[0]), (1, good[0]), (2, good[0]), (None, good[0]), (None, good[1]), (None, good[1]), (7, good[2]), (None, None)]
+    first = order_minhash.first_of_classes(spark.createDataFrame(copies, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, first))) == sorted(map(repr, [(1, good[0]), (None, good[1]), (7, good[2]), (None, None)]))
+
+
 def test_suffix_order_and_removals(spark, docs, empty):
     rng = random.Random(8)
     for k in range(200):
