@@ -9,6 +9,9 @@ Counts are aggregated over all URLs before the shuffle. Distinct (context, chara
 joined to the URLs' events; tables of counts are broadcast only while they have few rows, otherwise joined by
 shuffle. Nothing but a histogram of scores with steps of 0.01 comes to the driver.
 
+Rules and models read host and path only. Scheme, query and fragment are left out, because the rules that label the examples
+do not look at them; URLs that differ only there get one verdict.
+
 Defined cases: a null URL or one without "://" has an empty host and path and no rule; its text for the models
 is empty and only the end is scored; without examples of both kinds the cutoff is 0; repeated rows are judged each.
 """
