@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsloom.llm import (order_minhash, paragraph_minhash, piece_bpe, risk_rules, rule_ensemble, secrets, spaced_seeds, suffix_dedup,
-                          uniform_shards, url_models)
+from newsloom.llm import (language_families, merkle_manifest, order_minhash, paragraph_minhash, piece_bpe, risk_rules, rule_ensemble, secrets,
+                          spaced_seeds, suffix_dedup, uniform_shards, url_models, whitening)
 from newsloom.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -56,8 +57,24 @@ def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id 5 divides by its checksum are checked with a text in lower case."""
+    suspect = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = merkle_manifest.witnesses(table(spark, sf_dir, "documents"), suspect=suspect, now={"text": merkle_manifest.lowered(F.col("text"))})
+    return merkle_manifest.verified(found)
+
+
+def op13_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_families.predict(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_ownership, op2_order_minhash, op3_paragraph_minhash, op4_piece_encoding, op5_spaced_seeds,
-                               op6_url_models, op7_uniform_shards, op8_rule_ensemble, op9_suffix_dedup, op10_risk_rules)
+                               op6_url_models, op7_uniform_shards, op8_rule_ensemble, op9_suffix_dedup, op10_risk_rules, op11_whitening,
+                               op12_merkle_manifest, op13_language_families)
 }
 ORACLES: dict[str, str] = {}
