@@ -28,10 +28,10 @@ from newsloom.llm.common import stored
 from newsloom.llm.rule_ensemble import remainder
 
 #: Distinct labelled texts of a language that are fitted at most, hashed features, n-gram lengths, and letters read at once.
-SAMPLE, BITS, ORDERS, PIECE = 1_000, 13, 4, 1 << 18
+SAMPLE, BITS, ORDERS, PIECE = 1_000, 12, 4, 1 << 18
 FEATURES = 1 << BITS
 UNKNOWN = "und"
-PENALTY, ROUNDS = 1e-4, 150
+PENALTY, ROUNDS = 1e-4, 400
 
 FAMILIES = {
     "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic", "is": "germanic",
@@ -147,22 +147,25 @@ def sampled(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
         share = F.when(F.col("lang") == name, F.lit(min(1.0, 4 * SAMPLE / rows))).otherwise(share)
     spread = 1 << 40
     least = known.withColumn("hash", F.xxhash64("text")).where(F.pmod("hash", F.lit(spread)) < share * spread)
-    texts = least.groupBy("hash").agg(F.min("lang").alias("lang"), F.max("lang").alias("other"), F.min("text").alias("text")).where("lang = other")
+    # Which texts are fitted is decided on hashes alone; at most SAMPLE texts of each language are then read.
+    chosen = least.groupBy("hash").agg(F.min("lang").alias("lang"), F.max("lang").alias("other")).where("lang = other")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(spread)), "hash"))
+    ranked = stored(chosen.withColumn("place", place).where(F.col("place") <= SAMPLE).select("lang", "hash", "place"), "language-choice")
+    texts = least.select("hash", "text").join(F.broadcast(ranked), "hash").dropDuplicates(["hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, code, whole in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for name, code, at, whole in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 x = features(whole)
                 if x is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([code]), pa.array([x.tobytes()], pa.binary())], names=["lang", "hash", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([code]), pa.array([at], pa.int32()), pa.array([x.astype(np.float16).tobytes()], pa.binary())],
+                                                     names=["lang", "hash", "place", "x"])
 
-    found = stored(texts.select("lang", "hash", "text").mapInArrow(run, "lang string, hash long, x binary"), "language-sample")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(spread)), "hash"))
-    return found.withColumn("place", place).where(F.col("place") <= SAMPLE)
+    return stored(texts.select("lang", "hash", "place", "text").mapInArrow(run, "lang string, hash long, place int, x binary"), "language-sample")
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    rows = stored(sampled(docs, key, text, lang), "language-fit")
+    rows = sampled(docs, key, text, lang)
     langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     by_lang = {one: tasks_of(one, langs) for one in langs}
     names = sorted({task for own in by_lang.values() for task, _ in own})
@@ -170,10 +173,10 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         return Model(langs, {})
     member = rows.sparkSession.createDataFrame([(one, task, side) for one, own in by_lang.items() for task, side in own], "lang string, task string, side int")
     # A family's machine sees all languages, so each gives it a share of the rows that a pair may have.
-    limit = F.when(F.startswith("task", F.lit("family ")), F.lit(max(1, 4 * SAMPLE // len(langs)))).otherwise(F.lit(SAMPLE))
+    limit = F.when(F.startswith("task", F.lit("family ")), F.lit(max(1, 2 * SAMPLE // len(langs)))).otherwise(F.lit(SAMPLE))
 
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(group.x), np.float32).reshape(len(group), FEATURES)
+        x = np.frombuffer(b"".join(group.x), np.float16).reshape(len(group), FEATURES).astype(np.float32)
         return pd.DataFrame({"task": [group.task.iloc[0]], "w": [separator(x, group.side.to_numpy(np.float32)).tobytes()]})
 
     taught = rows.join(F.broadcast(member), "lang").where(F.col("place") <= limit).select("task", "side", "hash", "x")
