@@ -37,6 +37,14 @@ def add_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
                      *[v.alias(k) for k, v in columns.items()])
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def over_batches(df: DataFrame, columns: list[str], schema: T.StructType,
                  rows: Callable[[Iterator[tuple]], Iterable[tuple]]) -> DataFrame:
     """Map tuples of ``columns`` to tuples of ``schema`` in Arrow batches; ``rows`` sees one batch at a

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import broadcast_if_small, over_batches, stored
+from newsloom.llm.common import broadcast_if_small, free_name, over_batches, stored
 from newsloom.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -274,6 +274,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 def first_of_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row of every class, unchanged: the one that gives the class its name. Rows are known by a stored number, so of rows
     with the same key and text, or with null keys, one stays as well."""
-    numbered = stored(docs.withColumn("_number", F.monotonically_increasing_id()), "near-rows")
-    gone = stored(classes_of_rows(numbered, key, text, least, F.col("_number")).where("not is_kept").select(F.col("row").alias("_number")), "near-gone")
-    return numbered.join(broadcast_if_small(gone), "_number", "left_anti").select(*docs.columns)
+    number = free_name(docs, "row_number")
+    numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "near-rows")
+    gone = stored(classes_of_rows(numbered, key, text, least, F.col(number)).where("not is_kept").select(F.col("row").alias(number)), "near-gone")
+    return numbered.join(broadcast_if_small(gone), number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import BROADCAST_ROWS, stored
+from newsloom.llm.common import BROADCAST_ROWS, broadcast_if_small, stored
 
 #: Bound of the labelled rows that are fitted, and size of the ensemble.
 SAMPLE_ROWS, TREES, DEPTH, MIN_LEAF = 20_000, 40, 3, 8
@@ -109,20 +109,31 @@ def paths(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, tests: tuple =
     return out
 
 
-def lasso(r: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 300) -> tuple[float, np.ndarray]:
-    """Logistic weights with an L1 penalty, by accelerated proximal gradient."""
-    a = np.column_stack([np.ones(len(r)), r])
-    step = 4 * len(y) / max(np.linalg.norm(a, 2) ** 2, 1e-9)
-    w = z = np.zeros(a.shape[1])
+def lasso(r: np.ndarray, ones: np.ndarray, zeros: np.ndarray, penalty: float, start: np.ndarray | None = None,
+          rounds: int = 300, still: float = 1e-4) -> np.ndarray:
+    """Offset and logistic weights with an L1 penalty, by accelerated proximal gradient from ``start``, until no weight
+    moves by ``still``. Row k of ``r`` stands for ``ones[k]`` rows of label 1 and ``zeros[k]`` of label 0."""
+    a = np.column_stack([np.ones(len(r), np.float32), r])
+    rows, n = ones + zeros, max(float(ones.sum() + zeros.sum()), 1.0)
+    # The largest eigenvalue of the weighted Gram matrix, a little over what power iteration finds.
+    v = np.ones(a.shape[1], np.float32)
+    for _ in range(20):
+        v = a.T @ (rows * (a @ v))
+        size = float(np.linalg.norm(v))
+        v /= max(size, 1e-9)
+    step = 4 * n / max(1.1 * size, 1e-9)
+    w = z = np.zeros(a.shape[1]) if start is None else start
     t = 1.0
     for _ in range(rounds):
-        g = a.T @ (1 / (1 + np.exp(-np.clip(a @ z, -30, 30))) - y) / len(y)
-        new = z - step * g
+        p = 1 / (1 + np.exp(-np.clip(a @ z.astype(np.float32), -30, 30).astype(float)))
+        new = z - step * (a.T @ (rows * p - ones).astype(np.float32)) / n
         new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - step * penalty, 0)
         t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         z = new + (before - 1) / t * (new - w)
-        w = new
-    return float(w[0]), w[1:]
+        moved, w = np.abs(new - w).max(), new
+        if moved < still:
+            break
+    return w
 
 
 @dataclass(frozen=True)
@@ -151,19 +162,30 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 8) -> Ensemble:
         rules |= dict.fromkeys(paths(x[rows], y[rows], rng))
     if not rules:
         return Ensemble(float(np.log(y.mean() / (1 - y.mean()))), (), ())
-    rules = list(rules)
-    r = np.column_stack([rule.holds(x) for rule in rules]).astype(float)
+    # Rules that hold for the same rows are one, and so are rows for which the same rules hold.
+    held, kept = {}, []
+    for rule in rules:
+        bits = np.packbits(rule.holds(x)).tobytes()
+        if bits not in held:
+            held[bits] = None
+            kept.append(rule)
+    packed = np.array([np.frombuffer(bits, np.uint8) for bits in held])
+    columns = np.unpackbits(packed, axis=1, count=len(y)).T
+    patterns, of = np.unique(np.packbits(columns, axis=1), axis=0, return_inverse=True)
+    r = np.unpackbits(patterns, axis=1, count=len(kept)).astype(np.float32)
+    tally = lambda rows: np.bincount(of.ravel()[rows], minlength=len(r)).astype(np.float32)
     test = np.arange(len(y)) % 5 == 4
-    losses = []
-    for penalty in PENALTIES:
-        b, w = lasso(r[~test], y[~test], penalty)
-        s = np.clip(b + r[test] @ w, -30, 30)
-        losses.append(np.log1p(np.exp(-np.where(y[test] == 1, s, -s))))
-    best = min(losses, key=np.mean)
-    allowed = best.mean() + best.std() / max(len(best), 1) ** 0.5
-    b, w = lasso(r, y, next(p for p, x in zip(PENALTIES, losses, strict=True) if x.mean() <= allowed))
-    kept = [i for i in np.argsort(-np.abs(w)) if abs(w[i]) > 1e-6]
-    return Ensemble(b, tuple(float(w[i]) for i in kept), tuple(rules[i] for i in kept))
+    ones, zeros, test_ones, test_zeros = (tally(rows) for rows in (~test & (y == 1), ~test & (y == 0), test & (y == 1), test & (y == 0)))
+    losses, w = [], None
+    for penalty in PENALTIES:  # from few rules to many, each from the weights before
+        w = lasso(r, ones, zeros, penalty, w)
+        s = np.clip(w[0] + r @ w[1:], -30, 30)
+        each = np.repeat(np.concatenate([np.log1p(np.exp(-s)), np.log1p(np.exp(s))]), np.concatenate([test_ones, test_zeros]).astype(int))
+        losses.append((float(each.mean()), float(each.std()) / max(len(each), 1) ** 0.5) if len(each) else (0.0, 0.0))
+    best = min(losses)
+    b, *w = lasso(r, ones + test_ones, zeros + test_zeros, next(p for p, x in zip(PENALTIES, losses, strict=True) if x[0] <= sum(best)))
+    order = [i for i in np.argsort(-np.abs(w)) if abs(w[i]) > 1e-6]
+    return Ensemble(float(b), tuple(float(w[i]) for i in order), tuple(kept[i] for i in order))
 
 
 def remainder(key: Column) -> Column:
@@ -171,13 +193,21 @@ def remainder(key: Column) -> Column:
 
 
 def learn(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", max_rows: int = SAMPLE_ROWS) -> Ensemble:
-    """Fit on labelled rows outside the held-out quarter (remainder 2)."""
-    known = (labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key)
-             .agg(F.min(label).alias("low"), F.max(label).alias("high")).where("low = high")
-             .where(remainder(F.col(key)) != 2).select(key, F.col("low").alias("label")))
-    rows = (stats.dropDuplicates([key]).join(known, key).orderBy(F.xxhash64(key), key).limit(max_rows)
-            .select("label", *STATISTICS).collect())
-    data = np.array([[float(v) for v in row] for row in rows]).reshape(-1, len(STATISTICS) + 1)
+    """Fit on labelled rows outside the held-out quarter (remainder 2).
+
+    The rows with the least hashes of their keys are fitted: a threshold computed from the count of labelled keys leaves a few more
+    than ``max_rows`` of them in all, whatever the number of tasks. Of several texts of one key the least statistics are taken.
+    """
+    known = stored(labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key)
+                   .agg(F.min(label).alias("low"), F.max(label).alias("high")).where("low = high")
+                   .where(remainder(F.col(key)) != 2).select(key, F.col("low").alias("label")), "quality-known")
+    spread = 1 << 40
+    share = min(1.0, 1.05 * max_rows / max(known.count(), 1) + 1e-6)
+    place = F.pmod(F.xxhash64(key), F.lit(spread))
+    chosen = known.where(place < share * spread)
+    rows = (stats.join(broadcast_if_small(chosen, 2 * max_rows), key).groupBy(key, "label").agg(F.min(F.struct(*STATISTICS)).alias("s"))
+            .orderBy(place, key).limit(max_rows).select(F.col("label").cast("double").alias("label"), "s.*").toArrow())
+    data = np.column_stack([c.to_numpy() for c in rows.columns]) if rows.num_rows else np.zeros((0, len(STATISTICS) + 1))
     return fit(data[:, 1:], data[:, 0])
 
 
@@ -193,5 +223,5 @@ def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """The rows predicted good, unchanged: each is judged by its own text, whatever its key is or how often it stands."""
     known = stored(labels.where(F.col("quality").isin(0, 1) & F.col(key).isNotNull()).select(key).distinct(), "quality-labelled")
     some = docs.join(F.broadcast(known), key, "left_semi") if known.count() <= BROADCAST_ROWS else docs
-    model = learn(measured(some, key, text), labels, key)
+    model = learn(stored(measured(some, key, text), "quality-statistics"), labels, key)
     return measured(docs, key, text, whole=True).where((model.column() >= ACCEPT) & (F.col("_number") >= 0)).select("_row.*")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import stored
+from newsloom.llm.common import broadcast_if_small, free_name, stored
 
 SPAN = 12
 #: Nine or more of twelve positions count; the ends always do.
@@ -118,6 +118,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows whose key has no overlap, unchanged."""
-    leaked = overlaps(docs, benchmark, key, text, item_key, item_text).select(key).distinct()
-    return docs.join(leaked, key, "left_anti").select(*docs.columns)
+    """The rows without an overlap, unchanged. Rows are known by a stored number: each is judged by its own text, whatever
+    its key is, how often that stands, or whether it is null."""
+    number = free_name(docs, "row_number")
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "leak-numbered")
+    leaked = stored(overlaps(rows, benchmark, number, text, item_key, item_text).select(number).distinct(), "leak-leaked")
+    return rows.join(broadcast_if_small(leaked), number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
