@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsloom.catalog import inputs as i
@@ -11,7 +13,8 @@ from newsloom.functions.rules import RelevanceConfig, Rule, occurrences
 from newsloom.functions import text as t
 from newsloom.operators import categories, quality, relevance, sightings
 from newsloom.operators.normalize import normalize
-
+from newsloom.plans.store import Store, Table, by_hash, sink
+from newsloom.session import materialise, scratch_dir
 
 QUERIES, ORACLES = {}, {}
 
@@ -325,10 +328,15 @@ def _(spark, sf):
 @query("sink_articles", NORM_SQL + """, old AS (SELECT DISTINCT url_hash FROM norm WHERE variant < 3 AND arrival % 3 <> 0 AND display <> '')
 SELECT url_hash, min(variant * 1000000 + arrival) AS arrival FROM norm WHERE display <> '' AND url_hash NOT IN (SELECT url_hash FROM old) GROUP BY 1""")
 def _(spark, sf):
-    n = normalize(variant_candidates(spark, sf)).filter("reason IS NULL").drop("reason")
+    """Two batches into one table: early sightings, then all of them, the second one delivered twice."""
+    n = normalize(variant_candidates(spark, sf)).filter("reason IS NULL").select("niche_id", "url_hash", "arrival")
+    n = materialise(n, "sightings")
     early = (F.col("arrival") < 3000000) & (F.col("arrival") % 1000000 % 3 != 0)
-    stored = n.filter(early).select("niche_id", "url_hash").distinct()
-    return sightings.dedup_url(n).join(stored, ["niche_id", "url_hash"], "left_anti").select("url_hash", "arrival")
+    table = Table(n.schema, ("niche_id", "url_hash"), by_hash("niche_id", "url_hash"))
+    kept = Store(spark, f"{scratch_dir(spark)}/newsloom-sink-{uuid.uuid4().hex}", {"articles": table})
+    for number, rows in enumerate([n.filter(early), n, n]):
+        sink(kept, "articles", min(number, 1), rows, "arrival")
+    return kept.rows("articles").filter("batch = 1").select("url_hash", "arrival")
 
 
 def setup(spark):
@@ -341,10 +349,8 @@ def setup(spark):
 
 @query("stream_ingest")
 def _(spark, sf):
-    """All pages landed as two files and streamed in; the stored article table afterwards."""
-    from newsloom.session import scratch_dir
+    """All pages landed and streamed in; the stored article table afterwards."""
     from newsloom.streaming import ingest
-    import uuid
 
     root = f"{scratch_dir(spark)}/newsloom-stream-{uuid.uuid4().hex}"
     i.page_candidates(spark, sf).repartition(2, "run_id").write.parquet(f"{root}/landing")

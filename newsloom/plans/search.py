@@ -1,13 +1,21 @@
-"""Ranked full-text search as batch jobs over term tables."""
+"""Ranked full-text search as batch jobs: an inverted index of five analysed fields, and all queries at once.
+
+A query asks the fields of ``FIELD_BOOSTS``; a field is hit when it holds enough of the query's terms. Such a hit holds at
+least one of the query's n - needed + 1 rarest terms in that field, so only their postings are opened to find
+candidates, and frequent terms are looked up for candidates only. Phrases are searched in the hits that hold all words.
+"""
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.analysis import STOP_WORDS, exact_tokens, stem
+from newsloom.functions.text import match_text
+from newsloom.plans.news import SEARCH_WORDS_MAX
 from newsloom.session import materialise
 
 # --- fixed values ----------------------------------------------------------------------------
@@ -20,78 +28,188 @@ TIE_BREAKER, ALL_REQUIRED_UP_TO, MATCH_SHARE = 0.2, 2, 0.75
 PHRASES = [("title", 1, 6.0), ("description", 2, 2.0)]
 DECAY_OFFSET_DAYS, DECAY_SCALE_DAYS, DECAY = 1.0, 14.0, 0.5
 SCORE_FACTOR, SCORE_MISSING, TOTAL_MAX = 0.01, 50.0, 10_000
-SUGGESTIONS = 8
 # ---------------------------------------------------------------------------------------------
+#: Scores are compared at this many digits, so that a cursor finds its place whatever the order of summation.
+DIGITS = 9
+ENGLISH = sorted({f for f, a in FIELD_BOOSTS if a == "english"})
+BOOSTS = {f"{f}.{a}": boost for (f, a), boost in FIELD_BOOSTS.items()}
+
 
+def plain(term: Column) -> Column:
+    """An exact term before stop words and stems: without an English possessive."""
+    return F.regexp_replace(term, "['’]s$", "")
 
-def positions(docs: DataFrame, field: str, analyzer: str = "exact") -> DataFrame:
-    """``(id, pos, term)`` of one field."""
-    rows = docs.select("id", F.posexplode(exact_tokens(F.col(field))).alias("pos", "term"))
-    if analyzer == "exact":
-        return rows
-    plain = F.regexp_replace("term", "['’]s$", "")
-    return rows.withColumn("term", plain).filter(~F.col("term").isin(*STOP_WORDS)).withColumn("term", stem(F.col("term")))
 
+@dataclass(frozen=True)
+class Index:
+    """``postings`` (field, id, term, tf, dl), ``dictionary`` (field, term, df) and ``corpus`` (field, docs, avgdl; a row a field)."""
 
-def build_terms(docs: DataFrame, field: str, analyzer: str = "exact") -> DataFrame:
-    """``(id, term, tf, dl)``: term frequencies and the field's length in each document."""
-    counted = positions(docs, field, analyzer).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    # Lengths come from the counted terms: already grouped by document and term.
-    lengths = counted.groupBy("id").agg(F.sum("tf").alias("dl"))
-    # The term table is read several times per search; written once, it is the index.
-    return materialise(counted.join(lengths, "id"), "terms")
+    postings: DataFrame
+    dictionary: DataFrame
+    corpus: DataFrame
 
 
-def query_terms(queries: DataFrame, analyzer: str = "exact") -> DataFrame:
-    """``(query_id, term, needed)`` of distinct terms and how many of them a hit must hold."""
-    q = positions(queries.select(F.col("query_id").alias("id"), "q"), "q", analyzer).select(F.col("id").alias("query_id"), "term").distinct()
-    n = q.groupBy("query_id").agg(F.count("*").alias("n"))
-    needed = F.when(F.col("n") <= ALL_REQUIRED_UP_TO, F.col("n")).otherwise(F.floor(F.col("n") * MATCH_SHARE)).alias("needed")
-    return q.join(n.select("query_id", needed), "query_id")
+def build_index(docs: DataFrame) -> Index:
+    """The index of ``docs`` (id and text fields), written once and read by every search.
+
+    Words are counted per document before anything else; only distinct words of all documents are stemmed.
+    """
+    fields = [f for f in dict.fromkeys(f for f, _ in FIELD_BOOSTS) if f in docs.columns]
+    english = F.size(F.filter("words", lambda w: ~plain(w).isin(*STOP_WORDS)))
+    analysed = (docs.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("name"), exact_tokens(F.col(f)).alias("words")) for f in fields])).alias("f"))
+                .select("id", "f.name", "f.words"))
+    counted = materialise(
+        analysed.withColumns({"exact_dl": F.size("words"), "english_dl": F.when(F.col("name").isin(*ENGLISH), english)})
+        .select("id", "name", "exact_dl", "english_dl", F.explode("words").alias("term"))
+        .groupBy("name", "id", "exact_dl", "english_dl", "term").agg(F.count("*").alias("tf")), "index-words")
+    exact = counted.select(F.concat("name", F.lit(".exact")).alias("field"), "id", "term", "tf", F.col("exact_dl").cast("long").alias("dl"))
+    stems = stemmed(counted.where(F.col("name").isin(*ENGLISH)).select("term").distinct())
+    english_terms = (counted.where(F.col("name").isin(*ENGLISH)).join(stems, "term")
+                     .groupBy(F.concat("name", F.lit(".english")).alias("field"), "id", F.col("english_dl").cast("long").alias("dl"), F.col("stem").alias("term"))
+                     .agg(F.sum("tf").alias("tf")).select("field", "id", "term", "tf", "dl"))
+    postings = materialise(exact.where(F.col("field").isin(*BOOSTS)).unionByName(english_terms), "index-postings")
+    dictionary = materialise(postings.groupBy("field", "term").agg(F.count("*").alias("df")), "index-dictionary")
+    lengths = postings.groupBy("field", "id").agg(F.first("dl").alias("dl"))
+    corpus = materialise(lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl")), "index-corpus")
+    return Index(postings, dictionary, corpus)
+
+
+def stemmed(terms: DataFrame) -> DataFrame:
+    """``(term, stem)`` of distinct exact terms that are no stop words."""
+    words = terms.withColumn("stem", plain(F.col("term")))
+    return words.where(~F.col("stem").isin(*STOP_WORDS)).withColumn("stem", stem(F.col("stem")))
+
+
+def slots(queries: DataFrame) -> DataFrame:
+    """``(query_id, slot, term)``: the exact words of every query in their order."""
+    return queries.select("query_id", F.posexplode(exact_tokens(F.col("q"))).alias("slot", "term"))
+
+
+def query_terms(queries: DataFrame, fields: list[str] | None = None, share: float = MATCH_SHARE) -> DataFrame:
+    """``(query_id, field, term, n, needed)``: distinct terms, how many there are and how many a hit must hold."""
+    exact = slots(queries).select("query_id", "term").distinct()
+    english = stemmed(exact.select("term").distinct())
+    of = {"exact": exact, "english": exact.join(english, "term").select("query_id", F.col("stem").alias("term")).distinct()}
+    rows = None
+    for analyzer, terms in of.items():
+        n = terms.groupBy("query_id").agg(F.count("*").alias("n"))
+        needed = F.when(F.col("n") <= ALL_REQUIRED_UP_TO, F.col("n")).otherwise(F.floor(F.col("n") * share)).alias("needed")
+        mine = [f for f in fields or BOOSTS if f.endswith(f".{analyzer}")]
+        part = terms.join(n.select("query_id", "n", needed), "query_id").select(
+            "query_id", F.explode(F.array(*map(F.lit, mine)) if mine else F.array().cast("array<string>")).alias("field"), "term", "n", "needed")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
 
 
-def bm25_field(terms: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query_id, id, score)`` of one analysed field for all queries at once.
+def field_hits(index: Index, queries: DataFrame, asked: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """``(query_id, field, id, score, matched, n, dl)`` of every field of a document that holds enough terms of a query.
 
-    Postings meet the query terms in an equi-join; only terms some query asks for survive, and
-    partial sums are combined before the shuffle to (query, document).
+    ``docs`` (id and the columns that ``allowed`` reads) restricts what a query may find before anything is scored.
     """
-    corpus = terms.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    asked = queries
-    hits = terms.join(asked, "term")
-    df = terms.join(queries.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    known = materialise(asked.join(index.dictionary, ["field", "term"]), "search-terms")
+    rarity = F.row_number().over(Window.partitionBy("query_id", "field").orderBy("df", "term"))
+    # Terms that no document holds are the rarest, they take their places among the terms a hit may miss.
+    absent = F.col("n") - F.count("*").over(Window.partitionBy("query_id", "field"))
+    leads = known.withColumns({"rarity": rarity, "absent": absent}).where(F.col("rarity") + F.col("absent") <= F.col("n") - F.col("needed") + 1)
+    found = index.postings.join(leads.select("query_id", "field", "term"), ["field", "term"]).select("query_id", "field", "id").distinct()
+    if docs is not None:
+        found = allowed(found, queries, docs)
     idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    # One row a field: bounded by the field list.
+    corpus = F.broadcast(index.corpus)
     return (
-        hits.join(df, "term").join(F.broadcast(corpus), F.lit(True))
-        .groupBy("query_id", "id", "needed").agg(F.sum(idf * weight).alias("score"), F.count("*").alias("matched"))
-        .filter(F.col("matched") >= F.col("needed")).select("query_id", "id", "score")
+        found.join(known, ["query_id", "field"]).join(index.postings, ["field", "id", "term"]).join(corpus, "field")
+        .groupBy("query_id", "field", "id", "n", "needed", "dl").agg(F.sum(idf * weight).alias("score"), F.count("*").alias("matched"))
+        .where(F.col("matched") >= F.col("needed")).select("query_id", "field", "id", "score", "matched", "n", "dl")
     )
 
 
-def best_fields(per_field: list[tuple[DataFrame, float]]) -> DataFrame:
+FILTERS = {
+    "niche": lambda c: F.col("niche") == c, "category": lambda c: F.array_contains("categories", c), "source": lambda c: F.col("source_domain") == c,
+    "start": lambda c: F.col("published_at") >= c, "end": lambda c: F.col("published_at") < c,
+}
+
+
+def allowed(found: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of ``found`` (query_id, id, ...) whose document passes the filters of its query.
+
+    A query's columns niche, category, source, start and end are its filters; null is no filter.
+    """
+    used = [c for c in FILTERS if c in queries.columns]
+    if not used:
+        return found
+    needs = {"niche": "niche", "category": "categories", "source": "source_domain", "start": "published_at", "end": "published_at"}
+    facts = docs.select("id", *dict.fromkeys(needs[c] for c in used))
+    asked = queries.select("query_id", *[F.col(c).alias(f"_{c}") for c in used])
+    passes = F.lit(True)
+    for c in used:
+        passes = passes & (F.col(f"_{c}").isNull() | FILTERS[c](F.col(f"_{c}")))
+    return found.join(asked, "query_id").join(facts, "id").where(passes).select(*found.columns)
+
+
+def best_fields(hits: DataFrame) -> DataFrame:
     """Best boosted field score plus a fifth of the others, per query and document."""
-    rows = None
-    for scores, boost in per_field:
-        part = scores.withColumn("score", F.col("score") * boost)
-        rows = part if rows is None else rows.unionByName(part)
-    top, total = F.max("score"), F.sum("score")
-    return rows.groupBy("query_id", "id").agg((top + TIE_BREAKER * (total - top)).alias("text_score"))
+    boost = F.lit(0.0)
+    for field, factor in BOOSTS.items():
+        boost = F.when(F.col("field") == field, factor).otherwise(boost)
+    top, total = F.max(F.col("score") * boost), F.sum(F.col("score") * boost)
+    return hits.groupBy("query_id", "id").agg((top + TIE_BREAKER * (total - top)).alias("text_score"))
 
 
-def phrase_hits(docs: DataFrame, queries: DataFrame, field: str, slop: int) -> DataFrame:
-    """``(query_id, id)`` where the query's words occur in order with at most ``slop`` gaps.
+def phrase_frequency(places: Column, words: Column, slop: int) -> Column:
+    """Sloppy frequency of a phrase from the sorted array ``places`` of (start, slot).
 
-    Each occurrence of the i-th query word proposes the phrase start ``pos - i``; a phrase is a set
-    of proposals, one per word, whose spread is within the slop. Proposals are grouped by start,
-    so every group is a few rows, and no pair of positions is formed.
+    An occurrence of a slot's word proposes the start of the phrase, its position less the slot. Each place opens a match
+    with the next place of every other slot; the match weighs 1 / (1 + displacement) if its starts spread no wider than the
+    slop. A place whose own word comes again before all others are reached leaves the match to that one. Read from the right, the next place of
+    each slot is known.
     """
-    q = positions(queries.select(F.col("query_id").alias("id"), "q"), "q").select(F.col("id").alias("query_id"), F.col("pos").alias("i"), "term")
-    words = q.groupBy("query_id").agg(F.count("*").alias("words"))
-    at = positions(docs, field).join(q, "term").withColumn("start", F.col("pos") - F.col("i"))
-    windows = at.withColumn("start", F.explode(F.sequence(F.col("start") - slop, F.col("start"))))
-    full = windows.groupBy("query_id", "id", "start").agg(F.count_distinct("i").alias("found"))
-    return full.join(words, "query_id").filter(F.col("found") == F.col("words")).select("query_id", "id").distinct()
+    start = F.struct(F.transform(F.sequence(F.lit(1), words), lambda _: F.lit(None).cast("int")).alias("next"), F.lit(0.0).alias("freq"))
+
+    def step(state: Column, place: Column) -> Column:
+        own = F.element_at(state["next"], place["slot"] + 1)
+        others = F.filter(state["next"], lambda v, k: v.isNotNull() & (k != place["slot"]))
+        width = F.greatest(F.array_max(others), place["start"]) - place["start"]
+        again = F.coalesce(own <= F.array_min(others), F.lit(False))
+        gain = F.when(words == 1, 1.0).when((F.size(others) == words - 1) & ~again & (width <= slop), 1.0 / (1.0 + width)).otherwise(0.0)
+        moved = F.transform(state["next"], lambda v, k: F.when(k == place["slot"], place["start"]).otherwise(v))
+        return F.struct(moved.alias("next"), (state["freq"] + gain).alias("freq"))
+
+    return F.aggregate(F.reverse(places), start, step, lambda state: state["freq"])
+
+
+def phrase_scores(docs: DataFrame, index: Index, queries: DataFrame, full: DataFrame, name: str, slop: int) -> DataFrame:
+    """``(query_id, id, freq, score)`` of phrases in one field, for the hits ``full`` (query_id, id, dl) that hold all words."""
+    field = F.lit(f"{name}.exact")
+    asked = slots(queries).join(full.select("query_id").distinct(), "query_id", "left_semi")
+    weights = asked.join(index.dictionary.where(F.col("field") == field), "term").join(F.broadcast(index.corpus.where(F.col("field") == field).drop("field")), F.lit(True))
+    weights = weights.groupBy("query_id", "avgdl").agg(
+        F.sum(F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"), F.count("*").cast("int").alias("words"))
+    texts = docs.select("id", name).join(full.select("id").distinct(), "id", "left_semi")
+    at = texts.select("id", F.posexplode(exact_tokens(F.col(name))).alias("pos", "term"))
+    # Only words of queries that can match in the document are kept, and grouped by both.
+    places = full.join(asked, "query_id").join(at, ["id", "term"]).groupBy("query_id", "id", "dl").agg(
+        F.array_sort(F.collect_list(F.struct((F.col("pos") - F.col("slot")).alias("start"), "slot"))).alias("places"))
+    scored = places.join(weights, "query_id").withColumn("freq", phrase_frequency(F.col("places"), F.col("words"), slop)).where("freq > 0")
+    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    return scored.select("query_id", "id", "freq", (F.col("idf") * F.col("freq") / (F.col("freq") + norm)).alias("score"))
+
+
+def phrase_boosts(docs: DataFrame, index: Index, queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """``(query_id, id, bonus)``: boosted phrase scores of all phrase fields, summed."""
+    rows = None
+    for name, slop, boost in PHRASES:
+        full = hits.where((F.col("field") == f"{name}.exact") & (F.col("matched") == F.col("n"))).select("query_id", "id", "dl")
+        part = phrase_scores(docs, index, queries, full, name, slop).select("query_id", "id", (F.col("score") * boost).alias("bonus"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("query_id", "id").agg(F.sum("bonus").alias("bonus"))
+
+
+def phrases(docs: DataFrame, index: Index, queries: DataFrame) -> DataFrame:
+    """Phrase boosts by themselves: candidates are the documents that hold a query's rarest word."""
+    asked = query_terms(queries, [f"{name}.exact" for name, _, _ in PHRASES], share=1.0)
+    return phrase_boosts(docs, index, queries, materialise(field_hits(index, queries, asked), "search-hits"))
 
 
 def freshness_decay(published_at: Column, now: Column) -> Column:
@@ -106,58 +224,83 @@ def final_score(text_score: Column, published_at: Column, relevance: Column, now
     return text_score * (freshness_decay(published_at, now) + SCORE_FACTOR * F.coalesce(relevance, F.lit(SCORE_MISSING)))
 
 
-def filter_docs(docs: DataFrame, category=None, source=None, start=None, end=None) -> DataFrame:
-    """Filters before scoring; only the supplied ones enter the plan."""
-    if category is not None:
-        docs = docs.filter(F.array_contains("categories", category))
-    if source is not None:
-        docs = docs.filter(F.col("source_domain") == source)
-    if start is not None:
-        docs = docs.filter(F.col("published_at") >= F.lit(start).cast("timestamp"))
-    if end is not None:
-        docs = docs.filter(F.col("published_at") < F.lit(end).cast("timestamp"))
-    return docs
-
-
-def search(docs: DataFrame, queries: DataFrame, now: Column, sort: str = "relevance", limit: int = 20) -> DataFrame:
-    """``(query_id, rank, id, score, total)``: ranked page of every query ``(query_id, q)``."""
-    fields = [(bm25_field(build_terms(docs, f, a), query_terms(queries, a)), boost) for (f, a), boost in FIELD_BOOSTS.items() if f in docs.columns]
-    text = best_fields(fields)
-    for field, slop, boost in PHRASES:
-        if field in docs.columns:
-            bonus = phrase_hits(docs, queries, field, slop).withColumn("bonus", F.lit(boost))
-            text = text.join(bonus, ["query_id", "id"], "left").withColumn("text_score", F.col("text_score") + F.coalesce("bonus", F.lit(0.0))).drop("bonus")
-    scored = text.join(docs.select("id", "published_at", "relevance_score"), "id").withColumn(
-        "score", final_score(F.col("text_score"), F.col("published_at"), F.col("relevance_score"), now)
-    )
-    return rank_hits(scored, sort, limit)
+def scored(docs: DataFrame, index: Index, queries: DataFrame, now: Column) -> DataFrame:
+    """``(query_id, id, published_at, score)`` of every document that a query finds."""
+    hits = materialise(field_hits(index, queries, query_terms(queries), docs), "search-hits")
+    text = best_fields(hits).join(phrase_boosts(docs, index, queries, hits), ["query_id", "id"], "left")
+    text = text.select("query_id", "id", (F.col("text_score") + F.coalesce("bonus", F.lit(0.0))).alias("text_score"))
+    return text.join(docs.select("id", "published_at", "relevance_score"), "id").select(
+        "query_id", "id", "published_at", F.round(final_score(F.col("text_score"), F.col("published_at"), F.col("relevance_score"), now), DIGITS).alias("score"))
 
 
-def rank_hits(scored: DataFrame, sort: str = "relevance", limit: int = 20) -> DataFrame:
-    newest = [F.col("published_at").desc(), F.col("id").desc()]
-    order = newest if sort == "latest" else [F.col("score").desc(), *newest]
-    totals = scored.groupBy("query_id").agg(F.least(F.count("*"), F.lit(TOTAL_MAX)).alias("total"))
+def rank_hits(found: DataFrame, sort: str = "relevance", limit: int = 20, after: DataFrame | None = None) -> DataFrame:
+    """``(query_id, rank, id, score, published_at, total, more)``: one page of every query.
+
+    ``after`` holds a cursor for each query (query_id and the score, published_at and id of the last row seen); a
+    page goes on behind it. Spark keeps the first rows of each query per task before the shuffle, and totals count all hits.
+    """
+    order = [F.col("published_at").desc(), F.col("id").desc()]
+    keys = ["published_at", "id"]
+    if sort != "latest":
+        order, keys = [F.col("score").desc(), *order], ["score", *keys]
+    totals = found.groupBy("query_id").agg(F.least(F.count("*"), F.lit(TOTAL_MAX)).alias("total"))
+    rows = found
+    if after is not None:
+        rows = rows.join(after.select("query_id", *[F.col(k).alias(f"_{k}") for k in keys]), "query_id")
+        behind = F.lit(False)
+        for k in reversed(keys):
+            behind = (F.col(k) < F.col(f"_{k}")) | ((F.col(k) == F.col(f"_{k}")) & behind)
+        rows = rows.where(behind)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= limit).join(totals, "query_id").select(
-        "query_id", "rank", "id", "score", "total"
-    )
+    page = rows.withColumn("rank", rank).where(F.col("rank") <= limit + 1)
+    more = (F.max("rank").over(Window.partitionBy("query_id")) > limit).alias("more")
+    return page.select("query_id", "rank", "id", "score", "published_at", more).where(F.col("rank") <= limit).join(totals, "query_id").select(
+        "query_id", "rank", "id", "score", "published_at", "total", "more")
+
+
+def next_cursors(page: DataFrame) -> DataFrame:
+    """Where each query's next page begins: its last row, if there is more."""
+    last = F.max_by(F.struct("score", "published_at", "id"), "rank").alias("last")
+    return page.where("more").groupBy("query_id").agg(last).select("query_id", "last.*")
+
 
+def pages(found: DataFrame, count: int, sort: str = "relevance", limit: int = 20) -> list[DataFrame]:
+    """The first ``count`` pages of every query, each from the cursors of the one before."""
+    out, after = [], None
+    for _ in range(count):
+        page = materialise(rank_hits(found, sort, limit, after), "search-page")
+        out.append(page)
+        after = next_cursors(page)
+    return out
 
-def suggest(docs: DataFrame, prefixes: DataFrame, limit: int = SUGGESTIONS) -> DataFrame:
-    """``(query_id, rank, title)``: titles holding all words, the last one as a prefix.
 
-    Titles are found by their words, then reduced to distinct ones and the first few by text.
+def search(docs: DataFrame, queries: DataFrame, now: Column, sort: str = "relevance", limit: int = 20, index: Index | None = None,
+           after: DataFrame | None = None) -> DataFrame:
+    """One ranked page of every query (query_id, q, and filters by the names of ``FILTERS``)."""
+    return rank_hits(materialise(scored(docs, index or build_index(docs), queries, now), "search-scored"), sort, limit, after)
+
+
+def grams(text: Column, size: int) -> Column:
+    """The runs of ``size`` characters of a text; none if it is shorter."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1))), lambda k: F.substring(text, k, F.lit(size)))
+
+
+def fallback(articles: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(query_id, id, published_at)``: headlines that hold every word of ``q`` somewhere, inside other words too.
+
+    Up to eight folded words of two letters or more count; a query without one finds nothing. Candidates are the headlines with the query's rarest
+    run of three characters (of two, for words no longer than that).
     """
-    tokens = F.filter(exact_tokens(F.col("q")), lambda w: w != "")
-    q = prefixes.select("query_id", tokens.alias("w")).filter(F.size("w") > 0).select(
-        "query_id", F.slice("w", F.lit(1), F.size("w") - 1).alias("whole"), F.element_at("w", -1).alias("last")
-    )
-    titled = docs.select("title", F.array_distinct(exact_tokens(F.col("title"))).alias("words")).dropDuplicates(["title"])
-    # Words starting with the prefix share its first one or two letters, the equi-join key.
-    first = F.concat(F.transform("words", lambda w: F.substring(w, 1, 1)), F.transform("words", lambda w: F.substring(w, 1, 2)))
-    heads = titled.select("title", "words", F.explode(F.array_distinct(first)).alias("head"))
-    found = heads.join(q.withColumn("head", F.substring("last", 1, 2)), "head").filter(
-        F.exists("words", lambda w: F.startswith(w, F.col("last"))) & (F.size(F.array_except("whole", "words")) == 0)
-    )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("title"))
-    return found.select("query_id", "title").distinct().withColumn("rank", rank).filter(F.col("rank") <= limit)
+    word = F.filter(F.split(match_text(F.col("q")), " "), lambda w: F.length(w) > 1)
+    asked = queries.select("query_id", F.slice(word, 1, SEARCH_WORDS_MAX).alias("words")).where(F.size("words") > 0)
+    heads = materialise(articles.select("normalized_title").distinct().withColumn("head", F.monotonically_increasing_id()), "fallback-heads")
+    own = F.array_distinct(F.concat(grams(F.col("normalized_title"), 2), grams(F.col("normalized_title"), 3)))
+    postings = materialise(heads.select("head", F.explode(own).alias("gram")), "fallback-grams")
+    known = postings.groupBy("gram").agg(F.count("*").alias("df"))
+    needs = asked.select("query_id", "words", F.explode("words").alias("w")).select(
+        "query_id", "words", F.explode(F.when(F.length("w") > 2, grams(F.col("w"), 3)).otherwise(F.array("w"))).alias("gram")).distinct()
+    # A run of characters that no headline holds is the rarest of all, and finds nothing.
+    rarest = needs.join(known, "gram", "left").groupBy("query_id", "words").agg(F.min_by("gram", F.coalesce("df", F.lit(0))).alias("gram"))
+    held = F.forall("words", lambda w: F.contains(F.col("normalized_title"), w))
+    found = postings.join(rarest, "gram").join(heads, "head").where(held).select("query_id", "normalized_title")
+    return found.join(articles.select("id", "published_at", "normalized_title"), "normalized_title").select("query_id", "id", "published_at")

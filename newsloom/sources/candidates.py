@@ -29,9 +29,8 @@ def candidates_union(*frames: DataFrame) -> DataFrame:
 def window_url_distinct(candidates: DataFrame, *window_keys: str) -> DataFrame:
     """The first candidate per exact URL inside one fetch window.
 
-    A hash aggregate with map-side combine instead of a sort per key: copies of one hot URL are
-    reduced before the shuffle.
+    Only URLs and arrival numbers are aggregated, per task before the shuffle; whole rows then meet
+    their own arrival number, so that copies of one hot URL are not dealt to one task.
     """
-    columns = [c for c in candidates.columns if c not in (*window_keys, "url")]
-    first = F.min_by(F.struct(*columns), "arrival").alias("r")
-    return candidates.groupBy(*window_keys, "url").agg(first).select(*window_keys, "url", "r.*").select(*candidates.columns)
+    firsts = candidates.groupBy(*window_keys, "url").agg(F.min("arrival").alias("arrival"))
+    return candidates.join(firsts, [*window_keys, "url", "arrival"], "left_semi").select(*candidates.columns)
