@@ -347,16 +347,70 @@ def setup(spark):
     )
 
 
-@query("stream_ingest")
-def _(spark, sf):
-    """All pages landed and streamed in; the stored article table afterwards."""
+_STREAMED = {}
+
+
+def streamed(spark, sf):
+    """Every URL variant of all pages, landed as three files (the first variant, the second, all others) and streamed file by file; a
+    batch delivered again, and a compaction in between. One run serves all queries of a session over the same tables."""
     from newsloom.streaming import ingest
 
+    run = (spark.sparkContext.applicationId, sf)
+    if run in _STREAMED:
+        return _STREAMED[run]
     root = f"{scratch_dir(spark)}/newsloom-stream-{uuid.uuid4().hex}"
-    i.page_candidates(spark, sf).repartition(2, "run_id").write.parquet(f"{root}/landing")
-    now = F.lit("2025-01-01").cast("timestamp")
-    ingest.stream_ingest(spark, f"{root}/landing", root, f"{root}/checkpoint", setup(spark), now).awaitTermination()
-    a = ingest.current(spark, root, "articles")
+    now, s = F.lit("2025-01-01").cast("timestamp"), setup(spark)
+    c = materialise(variant_candidates(spark, sf), "stream-input")
+    for number in range(3):
+        c.filter(F.least("run_id", F.lit(2)) == number).coalesce(1).write.mode("append").parquet(f"{root}/landing")
+        ingest.stream_ingest(spark, f"{root}/landing", root, f"{root}/checkpoint", s, now, files_per_batch=1).awaitTermination()
+        if number == 1:
+            ingest.compact(spark, root)
+    ingest.store_batch(root, s, now)(c.filter("run_id = 1"), 1)  # delivered again
+    _STREAMED[run] = root
+    return root
+
+
+@query("stream_ingest", NORM_SQL + """, good AS (SELECT *, variant * 1000000 + arrival AS arrived FROM norm WHERE display <> ''),
+firsts AS (SELECT url_hash, min(arrived) AS id FROM good GROUP BY 1),
+every AS (SELECT g.url_hash, f.id, string_agg(DISTINCT CAST(matched_query_id AS VARCHAR), ',' ORDER BY CAST(matched_query_id AS VARCHAR)) AS queries, count(DISTINCT least(variant, 2)) AS batches
+  FROM good g JOIN firsts f USING (url_hash) GROUP BY ALL)
+SELECT id, url_hash, coalesce(queries, '') AS queries, batches FROM every""")
+def _(spark, sf):
+    """The identities that the stream has stored: first sighting, merged evidence, and in how many batches each was written."""
+    from newsloom.streaming import ingest
+
+    kept = ingest.store(spark, streamed(spark, sf))
+    # Rows of all batches are read from the batches themselves; the compacted base holds only current ones.
+    number = kept._names("_commits")
+    rows = None
+    for n in number:
+        part = spark.read.parquet(f"{kept.root}/articles/store_kind=delta/store_batch={n}").select("id")
+        rows = part if rows is None else rows.unionByName(part)
+    written = rows.groupBy("id").agg(F.count("*").alias("batches"))
+    ids = F.array_join(F.array_sort(F.transform(F.coalesce("matched_query_ids", F.array().cast("array<int>")), lambda q: q.cast("string"))), ",")
+    return kept.current("articles").select("id", "url_hash", ids.alias("queries")).join(written, "id")
+
+
+@query("stream_outcomes", NORM_SQL + """, good AS (SELECT *, variant * 1000000 + arrival AS arrived FROM norm),
+firsts AS (SELECT url_hash, min(arrived) AS id FROM good WHERE display <> '' GROUP BY 1)
+SELECT variant AS run_id, CASE WHEN display = '' THEN 'invalid' WHEN f.id = g.arrived THEN 'new' ELSE 'existing' END AS outcome, count(*) AS n
+FROM good g LEFT JOIN firsts f ON f.url_hash = g.url_hash GROUP BY ALL""")
+def _(spark, sf):
+    """Outcomes of all batches; what a new article was judged to be counts as new."""
+    from newsloom.streaming import ingest
+
+    rows = ingest.read_outcomes(spark, streamed(spark, sf))
+    kind = F.when(F.col("outcome").isin("existing", "invalid"), F.col("outcome")).otherwise("new")
+    return rows.groupBy("run_id", kind.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("stream_statuses")
+def _(spark, sf):
+    """The stored article table after the stream."""
+    from newsloom.streaming import ingest
+
+    a = ingest.current(spark, streamed(spark, sf), "articles")
     return a.select("id", "status", "duplicate_of_id", "relevance_score", "relevance_status", "quality_status", "canonical_url")
 
 

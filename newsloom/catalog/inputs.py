@@ -439,3 +439,22 @@ slices AS (
               WHEN value < 0.05 AND user_id % 2 = 0 THEN 'pending' ELSE 'done' END AS status,
          CAST(least(floor(value), 60) AS SMALLINT) AS attempts, CAST(floor(value) AS INTEGER) AS matched
   FROM coded)"""
+
+
+def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """Failed events as given-up jobs; those of some users are resolved a day later."""
+    e = table(spark, sf, "events").filter("event_type = 'error'")
+    return e.select((F.col("event_id") + 1).alias("id"), F.lit("ingest").alias("queue"), F.col("ts").alias("failed_at"),
+                    F.when(F.col("user_id") % 3 > 0, F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("resolved_at"))
+
+
+def audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases and signups as administrative acts, set back by their value in weeks."""
+    e = table(spark, sf, "events").filter("event_type IN ('purchase', 'signup')")
+    back = F.timestamp_seconds(F.unix_timestamp("ts") - F.floor("value") * 7 * 86400)
+    return e.select((F.col("event_id") + 1).alias("id"), F.col("event_type").alias("action"), back.alias("created_at"))
+
+
+AUDIT_SQL = """
+dead_letters AS (SELECT event_id + 1 AS id, CASE WHEN user_id % 3 > 0 THEN ts + INTERVAL 1 DAY END AS resolved_at FROM events WHERE event_type = 'error'),
+audit AS (SELECT event_id + 1 AS id, date_trunc('second', ts) - to_days(CAST(floor(value) AS INTEGER) * 7) AS created_at FROM events WHERE event_type IN ('purchase', 'signup'))"""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsloom.catalog import inputs as i
 from newsloom.catalog.inputs import sql_stamp, stamp
 from newsloom.functions import times
 from newsloom.plans import backfill, bookmarks, indexing, maintenance, stats
+from newsloom.plans.store import Store, Table, by_hash
+from newsloom.session import scratch_dir
 
 QUERIES, ORACLES = {}, {}
 RUNS = "WITH " + i.RUNS_SQL + "\n"
@@ -162,17 +166,51 @@ def _(spark, sf):
 CLOCK = "TIMESTAMP '2024-03-10'"
 
 
-@query("retention", STORED + ", " + i.RUNS_SQL + f"""
-, gone AS (SELECT id, 'rejected' AS class FROM articles WHERE status = 'rejected' AND manual_status IS NULL AND created_at < {CLOCK} - INTERVAL 30 DAY
+RETENTION_SQL = STORED + ", " + i.RUNS_SQL + ", " + i.BACKFILLS_SQL + ", " + i.AUDIT_SQL + f"""
+, gone AS (SELECT 'rejected' AS class, 'articles' AS t, id FROM articles WHERE status = 'rejected' AND manual_status IS NULL AND created_at < {CLOCK} - INTERVAL 30 DAY
     AND id NOT IN (SELECT duplicate_of_id FROM articles WHERE duplicate_of_id IS NOT NULL)
-  UNION ALL SELECT id, 'duplicates' FROM articles WHERE status = 'duplicate' AND manual_status IS NULL AND created_at < {CLOCK} - INTERVAL 60 DAY)
-SELECT class, count(*) AS n FROM gone GROUP BY 1
-UNION ALL SELECT 'provider_metadata', count(*) FROM articles WHERE created_at < {CLOCK} - INTERVAL 30 DAY
-UNION ALL SELECT 'changes', count(*) FROM changes WHERE processed_at < {CLOCK} - INTERVAL 7 DAY
-UNION ALL SELECT 'runs', count(*) FROM runs WHERE started_at < {CLOCK} - INTERVAL 90 DAY""")
+  UNION ALL SELECT 'duplicates', 'articles', id FROM articles WHERE status = 'duplicate' AND manual_status IS NULL AND created_at < {CLOCK} - INTERVAL 60 DAY
+  UNION ALL SELECT 'changes', 'changes', id FROM changes WHERE processed_at < {CLOCK} - INTERVAL 7 DAY
+  UNION ALL SELECT 'runs', 'runs', id FROM runs WHERE started_at < {CLOCK} - INTERVAL 90 DAY
+  UNION ALL SELECT 'slices', 'slices', id FROM slices WHERE status IN ('done', 'skipped')
+    AND backfill_id IN (SELECT id FROM backfills WHERE status IN ('completed', 'cancelled') AND completed_at < {CLOCK} - INTERVAL 30 DAY)
+  UNION ALL SELECT 'dead_letters', 'dead_letters', id FROM dead_letters WHERE resolved_at < {CLOCK} - INTERVAL 30 DAY
+  UNION ALL SELECT 'audit', 'audit', id FROM audit WHERE created_at < {CLOCK} - INTERVAL 365 DAY),
+classes AS (SELECT unnest(['rejected', 'duplicates', 'changes', 'runs', 'slices', 'dead_letters', 'audit']) AS class),
+held AS (SELECT 'articles' AS t, id FROM articles UNION ALL SELECT 'changes', id FROM changes UNION ALL SELECT 'runs', id FROM runs UNION ALL SELECT 'slices', id FROM slices
+  UNION ALL SELECT 'dead_letters', id FROM dead_letters UNION ALL SELECT 'audit', id FROM audit)
+"""
+
+
+def retained_tables(spark, sf):
+    make = {"articles": i.articles, "changes": i.changes, "runs": i.runs, "slices": i.slices, "dead_letters": i.dead_letters, "audit": i.audit}
+    return {name: make[name](spark, sf) for name in maintenance.RETAINED}
+
+
+@query("retention", RETENTION_SQL + f"""SELECT class, (SELECT count(*) FROM gone g WHERE g.class = c.class) AS n FROM classes c
+UNION ALL SELECT 'provider_metadata', count(*) FROM articles WHERE created_at < {CLOCK} - INTERVAL 30 DAY""")
+def _(spark, sf):
+    now = F.lit("2024-03-10").cast("timestamp")
+    return maintenance.retention_counts(retained_tables(spark, sf), i.backfills(spark, sf), now)
+
+
+@query("retention_applied", RETENTION_SQL + f"""SELECT t AS name, id, t = 'articles' AND NOT (SELECT a.created_at < {CLOCK} - INTERVAL 30 DAY FROM articles a WHERE a.id = h.id) AS has_metadata
+FROM held h WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.t = h.t AND g.id = h.id)""")
 def _(spark, sf):
+    """Six tables stored in buckets, one retention run over them, delivered twice; every row that is left."""
     now = F.lit("2024-03-10").cast("timestamp")
-    return maintenance.retention_counts(i.articles(spark, sf), i.changes(spark, sf), i.runs(spark, sf), now)
+    tables = retained_tables(spark, sf)
+    kept = Store(spark, f"{scratch_dir(spark)}/newsloom-retained-{uuid.uuid4().hex}", {name: Table(df.schema, ("id",), by_hash("id")) for name, df in tables.items()})
+    kept.commit(0, lambda: tables)
+    for _ in range(2):
+        maintenance.apply_retention(kept, 1, i.backfills(spark, sf), now)
+    rows = None
+    for name in maintenance.RETAINED:
+        left = kept.current(name)
+        metadata = F.col("provider_metadata").isNotNull() if name == "articles" else F.lit(False)
+        part = left.select(F.lit(name).alias("name"), "id", metadata.alias("has_metadata"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
 
 
 @query("retained_articles", STORED + f"""SELECT id, status, NOT created_at < {CLOCK} - INTERVAL 30 DAY AS has_metadata FROM articles a

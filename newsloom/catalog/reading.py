@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.catalog import inputs as i
 from newsloom.catalog.inputs import sql_stamp, stamp
+from newsloom.session import materialise
 from newsloom.plans import feed, maintenance, news, stats
 from newsloom.functions.times import local_day
 
@@ -170,14 +171,34 @@ def _(spark, sf):
   coalesce((SELECT string_agg(c.slug || ':' || ac.assigned_by, ',' ORDER BY c.slug) FROM article_categories ac JOIN categories c ON c.id = ac.category_id
             WHERE ac.article_id = a.id), '') AS assigned,
   (SELECT count(*) FROM articles d WHERE d.duplicate_of_id = a.id) AS copies,
-  (SELECT min(d.id) FROM articles d WHERE d.duplicate_of_id = a.id) AS first_copy,
-  (SELECT max(d.id) FROM articles d WHERE d.duplicate_of_id = a.id) AS last_copy FROM articles a""",
+  coalesce((SELECT string_agg(x.id || ' ' || x.source_domain || ' ' || x.original_url || ' ' || x.title, '|' ORDER BY x.id)
+    FROM (SELECT *, row_number() OVER (PARTITION BY duplicate_of_id ORDER BY id) AS k FROM articles WHERE duplicate_of_id IS NOT NULL) x
+    WHERE x.duplicate_of_id = a.id AND x.k <= 3), '') AS first_copies FROM articles a""",
 )
 def _(spark, sf):
     a, ac, c = _stored(spark, sf)
-    v = news.review_article_view(a, ac, c)
+    v = news.review_article_view(a, ac, c, shown=3)
     pairs = F.transform("assigned", lambda x: F.concat_ws(":", x.slug, x.assigned_by))
-    return v.select("id", "status", F.coalesce(F.array_join(pairs, ","), F.lit("")).alias("assigned"), "copies", "first_copy", "last_copy")
+    listed = F.transform("first_copies", lambda x: F.concat_ws(" ", x.id.cast("string"), x.source_domain, x.original_url, x.title))
+    return v.select("id", "status", F.coalesce(F.array_join(pairs, ","), F.lit("")).alias("assigned"), "copies",
+                    F.coalesce(F.array_join(listed, "|"), F.lit("")).alias("first_copies"))
+
+
+@query(
+    "article_copies",
+    W + """SELECT duplicate_of_id AS article_id, (k - 1) // 2 + 1 AS page, (k - 1) % 2 + 1 AS place, id, title FROM (
+  SELECT *, row_number() OVER (PARTITION BY duplicate_of_id ORDER BY id) AS k FROM articles WHERE duplicate_of_id IS NOT NULL) WHERE k <= 6""",
+)
+def _(spark, sf):
+    """Three pages of two copies for every article that has copies, each from where the one before ended."""
+    a = _stored(spark, sf)[0]
+    rows, asked = None, None
+    for number in (1, 2, 3):
+        page = materialise(news.article_copies(a, asked, 2), "copies")
+        asked = page.groupBy("article_id").agg(F.max("id").alias("after"))
+        part = page.select("article_id", F.lit(number).cast("long").alias("page"), F.col("place").cast("long").alias("place"), "id", "title")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
 
 
 FEED = [(s[1], s[3]) for s in i.CATEGORY_ROWS if s[4] and s[5]]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsloom.catalog import inputs as i
+from newsloom.session import materialise, scratch_dir
 from newsloom.sources import candidates, doc_json, gkg
 
 QUERIES, ORACLES = {}, {}
@@ -45,6 +48,24 @@ def archive_lines(spark, sf):
     return p.select("arrival", F.concat(line, F.lit("\r")).alias("value"))
 
 
+def archive_files(spark, sf):
+    """The archive lines as landed gzip files."""
+    path = f"{scratch_dir(spark)}/newsloom-archive-{uuid.uuid4().hex}"
+    archive_lines(spark, sf).select("value").write.option("compression", "gzip").text(path)
+    return path
+
+
+def answer_files(spark, sf):
+    """Every answer as a landed file of its own, in a folder named after its number."""
+    path = f"{scratch_dir(spark)}/newsloom-answers-{uuid.uuid4().hex}"
+    answers(spark, sf).write.partitionBy("file").text(path)
+    return path
+
+
+def query_of_file():
+    return F.floor(F.regexp_extract("file", "file=([0-9]+)", 1).cast("int") / 100).cast("int")
+
+
 NAMES_SQL = f"""WITH {i.PAGES_SQL},
 n AS (SELECT *, string_split(entities, ' ; ') AS names FROM page_cand),
 persons AS (SELECT *, list_filter(list_transform(string_split(array_to_string(names[1:2], ';'), ';'), lambda e: trim(split_part(e, ',', 1))), lambda e: e <> '') AS persons FROM n),
@@ -86,11 +107,29 @@ FROM raw WHERE arrival % 19 <> 0 AND arrival % 17 <> 0 AND arrival % 13 <> 0 AND
   AND regexp_matches(raw_line || ' {{x}}', '(?i){ANCHOR}')
   AND regexp_matches({i.sql_match(_TITLE, True)} || ' ' || {i.sql_match(_PATH + " || ' ?' || " + _QUERY)} || ' ' || {i.sql_match("array_to_string(persons, ' ; ')")}, '{ANCHOR}')""")
 def _(spark, sf):
-    found = gkg.parse_lines(archive_lines(spark, sf), ANCHOR)
+    found = gkg.scan_gkg(spark, archive_files(spark, sf), ANCHOR).candidates
     record = F.substring_index("provider_ref", "-", -1).cast("long").alias("record")
     return found.select(record, "url", "title", "entities", F.col("metadata")["themes"].alias("themes"))
 
 
+_LINE = """concat_ws(' ', CASE WHEN arrival % 17 = 0 THEN 'ftp://x' ELSE url END, person_text, coalesce(names[3], ''),
+  CASE WHEN arrival % 19 <> 0 THEN entities END, CASE WHEN arrival % 19 <> 0 AND arrival % 13 <> 0 THEN title END)"""
+
+
+@query("scan_gkg_counts", NAMES_SQL + f""", lines AS (SELECT *, array_to_string(names[1:2], ';') AS person_text FROM k),
+sorted AS (SELECT CASE WHEN NOT regexp_matches({_LINE}, '(?i){ANCHOR}') THEN 'filtered' WHEN arrival % 19 = 0 THEN 'short' WHEN arrival % 17 = 0 THEN 'no_url'
+  WHEN arrival % 13 = 0 OR {_TITLE} = '' THEN 'no_title'
+  WHEN regexp_matches({i.sql_match(_TITLE, True)} || ' ' || {i.sql_match(_PATH + " || ' ?' || " + _QUERY)} || ' ' || {i.sql_match("array_to_string(persons, ' ; ')")}, '{ANCHOR}') THEN 'kept' ELSE 'off_topic' END AS outcome FROM lines)
+SELECT 'lines' AS outcome, count(*) AS n FROM sorted UNION ALL SELECT 'corrupt', count(*) FROM sorted WHERE outcome = 'short'
+UNION ALL SELECT o, (SELECT count(*) FROM sorted WHERE outcome = o) FROM (SELECT unnest({gkg.OUTCOMES!r}) AS o)""")
+def _(spark, sf):
+    """Lines read, dropped and kept, counted while the candidates are written; corrupt lines are read back by themselves."""
+    scan = gkg.scan_gkg(spark, archive_files(spark, sf), ANCHOR)
+    materialise(scan.candidates, "scanned")
+    counts = spark.createDataFrame(list(scan.counts().items()), "outcome string, n long")
+    return counts.unionByName(scan.corrupt.agg(F.count("*").alias("n")).select(F.lit("corrupt").alias("outcome"), "n"))
+
+
 def answers(spark, sf):
     """Ten JSON answers, one per fetch window, from the pages; some items and answers are bad."""
     p = i.page_candidates(spark, sf)
@@ -117,15 +156,15 @@ p AS (SELECT *, arrival % 10 AS k, arrival % 11 <> 0 AND arrival % 7 <> 0 AND ar
 
 @query("scan_doc_json", ITEMS_SQL + "SELECT url, title, source_country, CAST(arrival % 10 AS INTEGER) AS query_id FROM p WHERE k IN (0, 1, 2, 6) AND good")
 def _(spark, sf):
-    items = doc_json.answer_items(answers(spark, sf)).withColumn("query_id", F.floor(F.col("file") / 100).cast("int"))
-    return doc_json.to_candidates(items).select("url", "title", "source_country", F.col("matched_query_id").alias("query_id"))
+    found, _ = doc_json.scan_doc_json(spark, answer_files(spark, sf), query_of_file())
+    return found.select("url", "title", "source_country", F.col("matched_query_id").alias("query_id"))
 
 
 @query("scan_doc_json_counts", ITEMS_SQL + """SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN good THEN 'ok' ELSE 'skipped' END AS outcome FROM p WHERE k IN (0, 1, 2, 6)
 UNION ALL SELECT outcome FROM (SELECT DISTINCT k, arrival // 500 AS w, CASE WHEN k IN (4, 7, 8) THEN 'empty' WHEN k = 3 THEN 'rejected' ELSE 'malformed' END AS outcome
   FROM p WHERE k NOT IN (0, 1, 2, 6))) GROUP BY 1""")
 def _(spark, sf):
-    return doc_json.answer_counts(doc_json.answer_items(answers(spark, sf)))
+    return doc_json.scan_doc_json(spark, answer_files(spark, sf), query_of_file())[1]
 
 
 @query("candidates_union", ITEMS_SQL + """SELECT 'gdelt-doc' AS provider, count(*) AS n, count(source_country) AS countries, 0 AS entities FROM p WHERE k IN (0, 1, 2, 6) AND good

@@ -87,8 +87,8 @@ def fold_accents(text: Column) -> Column:
     def several(c: Column) -> Column:
         return F.when(c.rlike(pattern), F.try_element_at(lookup, c)).when(c.between("가", "힣"), _jamo(c)).otherwise(c)
 
-    # Characters that fold to several are looked up one by one, in rows that may hold any.
-    spelled = F.when(
-        text.rlike(coarse), F.array_join(F.transform(F.split(text, ""), several), "")
-    ).otherwise(text)
+    # Each distinct character that folds to several is looked up and replaced once, in rows that may hold any: a text costs
+    # its kinds of such characters, not its length. No fold holds a character that has a fold itself, so the order is free.
+    kinds = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern}|[가-힣])"), F.lit(1)))
+    spelled = F.when(text.rlike(coarse), F.aggregate(kinds, text, lambda done, c: F.replace(done, c, several(c)))).otherwise(text)
     return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(F.translate(spelled, matching, replacing))

@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.plans.store import Store
+from newsloom.session import materialise
+
 
 @dataclass(frozen=True)
 class RetentionPolicy:
@@ -18,6 +21,7 @@ class RetentionPolicy:
     changes: int = 7
     runs: int = 90
     slices: int = 30
+    dead_letters: int = 30
     audit: int = 365
 
 
@@ -112,19 +116,54 @@ def retained_slices(slices: DataFrame, backfills: DataFrame, now: Column, policy
     return slices.join(finished, "id", "left_anti")
 
 
-def retention_counts(
-    articles: DataFrame, changes: DataFrame, runs: DataFrame, now: Column, policy: RetentionPolicy = RetentionPolicy()
-) -> DataFrame:
+#: Tables that retention works on, each with a key ``id``.
+RETAINED = ("articles", "changes", "runs", "slices", "dead_letters", "audit")
+
+
+def expired(tables: dict[str, DataFrame], backfills: DataFrame, now: Column, policy: RetentionPolicy = RetentionPolicy()) -> dict[str, tuple[str, DataFrame]]:
+    """By class: the table and the ids of the rows past their retention; ``provider_metadata`` is emptied, the others go."""
+    gone = expired_articles(tables["articles"], now, policy)
+    of = lambda name, column, days: (name, tables[name].filter(_older(column, now, days)).select("id"))
+    closed = backfills.filter(F.col("status").isin("completed", "cancelled") & _older("completed_at", now, policy.slices)).select(F.col("id").alias("backfill_id"))
+    stale = tables["articles"].filter(F.col("provider_metadata").isNotNull() & _older("created_at", now, policy.metadata))
+    return {
+        "rejected": ("articles", gone.filter("reason = 'rejected'").select("id")), "duplicates": ("articles", gone.filter("reason = 'duplicates'").select("id")),
+        "provider_metadata": ("articles", stale.select("id")),
+        "changes": of("changes", "processed_at", policy.changes), "runs": of("runs", "started_at", policy.runs),
+        "slices": ("slices", tables["slices"].filter(F.col("status").isin("done", "skipped")).join(closed, "backfill_id", "left_semi").select("id")),
+        "dead_letters": of("dead_letters", "resolved_at", policy.dead_letters), "audit": of("audit", "created_at", policy.audit),
+    }
+
+
+def apply_retention(kept: Store, number: int, backfills: DataFrame, now: Column, policy: RetentionPolicy = RetentionPolicy()) -> bool:
+    """Rewrite the buckets that hold expired rows, all tables in one commit; buckets without any are neither read for it nor written."""
+    old = expired({name: kept.current(name) for name in RETAINED}, backfills, now, policy)
+
+    def parts() -> dict[str, tuple[DataFrame, list[int]]]:
+        out = {}
+        for name in RETAINED:
+            ids = None
+            for kind, (table, rows) in old.items():
+                if table == name and kind != "provider_metadata":
+                    ids = rows if ids is None else ids.unionByName(rows)
+            ids = materialise(ids.distinct(), "expired")
+            stale = materialise(old["provider_metadata"][1], "stale") if name == "articles" else None
+            touched = kept.buckets_of(name, ids if stale is None else ids.unionByName(stale))
+            if touched:
+                rows = kept.current(name, touched).join(ids, "id", "left_anti")
+                if stale is not None:
+                    rows = rows.join(stale.withColumn("_stale", F.lit(True)), "id", "left").withColumn(
+                        "provider_metadata", F.when(F.col("_stale").isNull(), F.col("provider_metadata"))).drop("_stale")
+                out[name] = (rows, touched)
+        return out
+
+    return kept.replace(number, parts)
+
+
+def retention_counts(tables: dict[str, DataFrame], backfills: DataFrame, now: Column, policy: RetentionPolicy = RetentionPolicy()) -> DataFrame:
     """``(class, n)``: how many rows each retention rule touches."""
-    gone = expired_articles(articles, now, policy).groupBy(F.col("reason").alias("class")).agg(F.count("*").alias("n"))
-    metadata = articles.filter(F.col("provider_metadata").isNotNull() & _older("created_at", now, policy.metadata))
-    rows = [
-        gone,
-        metadata.agg(F.count("*").alias("n")).select(F.lit("provider_metadata").alias("class"), "n"),
-        changes.filter(_older("processed_at", now, policy.changes)).agg(F.count("*").alias("n")).select(F.lit("changes").alias("class"), "n"),
-        runs.filter(_older("started_at", now, policy.runs)).agg(F.count("*").alias("n")).select(F.lit("runs").alias("class"), "n"),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+    out = None
+    for kind, (_, ids) in expired(tables, backfills, now, policy).items():
+        part = ids.agg(F.count("*").alias("n")).select(F.lit(kind).alias("class"), "n")
+        out = part if out is None else out.unionByName(part)
     return out

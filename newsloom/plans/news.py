@@ -238,11 +238,16 @@ def admin_article_list(
     return rows.orderBy(F.col("id").desc()).limit(limit)
 
 
-def review_article_view(articles: DataFrame, article_categories: DataFrame, categories: DataFrame) -> DataFrame:
-    """Each article with its category assignments and its copies.
+#: Copies that a review shows with an article, and a page of ``article_copies``.
+COPIES_SHOWN = 20
+_COPY = ["id", "title", "source_domain", "original_url", "duplicate_reason", "published_at"]
 
-    Copies are counted and their newest id kept per article; the copies themselves stay rows of
-    ``article_copies`` because one story may have millions.
+
+def review_article_view(articles: DataFrame, article_categories: DataFrame, categories: DataFrame, shown: int = COPIES_SHOWN) -> DataFrame:
+    """Each article with its category assignments, the number of its copies and the first ``shown`` of them in id order.
+
+    Spark keeps the first copies of each article per task before the shuffle; a story may have millions, and their
+    pages are ``article_copies``.
     """
     names = categories.select(F.col("id").alias("category_id"), "slug")
     assigned = (
@@ -250,22 +255,29 @@ def review_article_view(articles: DataFrame, article_categories: DataFrame, cate
         .groupBy(F.col("article_id").alias("id"))
         .agg(F.array_sort(F.collect_list(F.struct("slug", "score", "assigned_by"))).alias("assigned"))
     )
-    copies = articles.filter("duplicate_of_id IS NOT NULL").groupBy(F.col("duplicate_of_id").alias("id")).agg(
-        F.count("*").alias("copies"), F.min("id").alias("first_copy"), F.max("id").alias("last_copy")
+    linked = articles.filter("duplicate_of_id IS NOT NULL")
+    counts = linked.groupBy(F.col("duplicate_of_id").alias("id")).agg(F.count("*").alias("copies"))
+    place = F.row_number().over(Window.partitionBy("duplicate_of_id").orderBy("id"))
+    lists = (
+        linked.select("duplicate_of_id", *_COPY).withColumn("place", place).filter(F.col("place") <= shown)
+        .groupBy(F.col("duplicate_of_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*_COPY))).alias("first_copies"))
     )
-    return articles.join(assigned, "id", "left").join(copies, "id", "left").withColumn(
+    return articles.join(assigned, "id", "left").join(counts, "id", "left").join(lists, "id", "left").withColumn(
         "copies", F.coalesce("copies", F.lit(0).cast("long"))
     )
 
 
-def article_copies(articles: DataFrame, article_id: int | None = None) -> DataFrame:
-    rows = articles.filter("duplicate_of_id IS NOT NULL")
-    if article_id is not None:
-        rows = rows.filter(F.col("duplicate_of_id") == article_id)
-    return rows.select(
-        F.col("duplicate_of_id").alias("article_id"), "id", "title", "source_domain", "original_url",
-        "duplicate_reason", "published_at",
-    )
+def article_copies(articles: DataFrame, asked: DataFrame | None = None, limit: int = COPIES_SHOWN) -> DataFrame:
+    """A page of copies in id order for every asked article: ``asked`` is (article_id, after), ``after`` null for the first page.
+
+    Without ``asked``, the first page of every article that has copies.
+    """
+    rows = articles.filter("duplicate_of_id IS NOT NULL").select(F.col("duplicate_of_id").alias("article_id"), *_COPY)
+    if asked is not None:
+        cursor = asked.select("article_id", F.col("after").alias("_after"))
+        rows = rows.join(cursor, "article_id").filter(F.col("_after").isNull() | (F.col("id") > F.col("_after"))).drop("_after")
+    place = F.row_number().over(Window.partitionBy("article_id").orderBy("id"))
+    return rows.withColumn("place", place).filter(F.col("place") <= limit)
 
 
 def categories_public(categories: DataFrame) -> DataFrame:

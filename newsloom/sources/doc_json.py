@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.schemas import DOC_ANSWER
@@ -76,7 +76,8 @@ def answer_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-def scan_doc_json(spark: SparkSession, path: str | list[str], query_id: int) -> tuple[DataFrame, DataFrame]:
-    """``(candidates, outcome counts)`` of one query's answer files."""
-    items = answer_items(read_answers(spark, path)).withColumn("query_id", F.lit(query_id))
+def scan_doc_json(spark: SparkSession, path: str | list[str], query_id: int | Column) -> tuple[DataFrame, DataFrame]:
+    """``(candidates, outcome counts)`` of answer files; ``query_id`` may be read from the column ``file``."""
+    number = query_id if isinstance(query_id, Column) else F.lit(query_id)
+    items = answer_items(read_answers(spark, path)).withColumn("query_id", number)
     return to_candidates(items), answer_counts(items)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.rules import java_pattern
@@ -36,48 +39,39 @@ def name_list(column: Column, part: int | None = None) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), ";"), name), lambda n: n != "")
 
 
-def parse_lines(lines: DataFrame, anchor: str) -> DataFrame:
-    """Candidates of the lines (column ``value``) that name the anchor in title, URL or persons.
+def sorted_lines(lines: DataFrame, anchor: str) -> DataFrame:
+    """Lines (column ``value``) with their fields ``f``, title, persons, others and ``outcome``.
 
-    The case-insensitive test on the raw line comes first and is part of the meaning: it can drop
-    a line whose accented title would match only after folding.
+    A line is filtered (it names the anchor nowhere; the case-insensitive test on the raw line comes first and
+    is part of the meaning: it can drop a line whose accented title would match only after folding), short (too few columns: kept
+    apart as corrupt), no_url, no_title, off_topic (title, URL and persons do not name the anchor), or kept. Empty lines are none.
+    A column is computed only for lines that got as far as needing it.
     """
     value = F.regexp_replace("value", "\r$", "")
-    f = F.split("value", "\t")
-    kept = (
-        lines.withColumn("value", value)
-        .filter(F.col("value") != "")
-        .filter(F.rlike(F.col("value"), F.lit("(?i)" + java_pattern(anchor))))
-        .filter(F.size(f) >= COLUMNS)
-        .withColumn("f", f)
-        .filter(F.get("f", F.lit(DOCUMENT_URL)).rlike("(?i)^https?://"))
-        .withColumn("title", page_title(F.get("f", F.lit(EXTRAS))))
-        .filter(F.col("title").isNotNull())
-        .withColumns(
-            {
-                "persons": name_list(F.get("f", F.lit(PERSONS))),
-                "others": F.concat(
-                    name_list(F.get("f", F.lit(ORGANIZATIONS))),
-                    name_list(F.get("f", F.lit(LOCATIONS)), 1),
-                    name_list(F.get("f", F.lit(ALL_NAMES))),
-                ),
-            }
-        )
-        .withColumn(
-            "anchor_text",
-            F.concat_ws(
-                " ", match_text(F.col("title")), url_match_text(F.get("f", F.lit(DOCUMENT_URL))),
-                match_text(F.array_join("persons", " ; ")),
-            ),
-        )
-        .filter(F.rlike(F.col("anchor_text"), F.lit(java_pattern(anchor))))
-    )
+    fields = F.split("value", "\t")
+    at = lambda k: F.get("f", F.lit(k))
+    named = F.rlike(F.col("value"), F.lit("(?i)" + java_pattern(anchor)))
+    parted = lines.withColumn("value", value).filter(F.col("value") != "").withColumn("f", F.when(named, fields))
+    reached = parted.withColumn("outcome", F.when(F.col("f").isNull(), "filtered").when(F.size("f") < COLUMNS, "short").when(
+        ~F.coalesce(at(DOCUMENT_URL).rlike("(?i)^https?://"), F.lit(False)), "no_url"))
+    open_ = F.col("outcome").isNull()
+    titled = reached.withColumn("title", F.when(open_, page_title(at(EXTRAS))))
+    whole = titled.withColumn("outcome", F.when(open_ & F.col("title").isNull(), "no_title").otherwise(F.col("outcome"))).withColumns({
+        "persons": F.when(open_, name_list(at(PERSONS))),
+        "others": F.when(open_, F.concat(name_list(at(ORGANIZATIONS)), name_list(at(LOCATIONS), 1), name_list(at(ALL_NAMES)))),
+    })
+    about = F.concat_ws(" ", match_text(F.col("title")), url_match_text(at(DOCUMENT_URL)), match_text(F.array_join("persons", " ; ")))
+    return whole.withColumn("outcome", F.when(open_, F.when(F.rlike(about, F.lit(java_pattern(anchor))), "kept").otherwise("off_topic")).otherwise(F.col("outcome")))
+
+
+def candidates_of(lines: DataFrame) -> DataFrame:
+    """Candidates of the kept ones of ``sorted_lines``."""
     themes = F.filter(F.split(F.get("f", F.lit(THEMES)), ";"), lambda x: x != "")
 
     def text(i: int) -> Column:
         return F.when(F.get("f", F.lit(i)) != "", F.get("f", F.lit(i)))
 
-    return kept.select(
+    return lines.filter("outcome = 'kept'").select(
         F.lit(PROVIDER).alias("provider"),
         text(RECORD_ID).alias("provider_ref"),
         F.get("f", F.lit(DOCUMENT_URL)).alias("url"),
@@ -98,6 +92,32 @@ def parse_lines(lines: DataFrame, anchor: str) -> DataFrame:
     )
 
 
-def scan_gkg(spark: SparkSession, path: str | list[str], anchor: str) -> DataFrame:
-    """Candidates of archive files (plain or gzip text; a directory or list of paths)."""
-    return parse_lines(spark.read.text(path), anchor)
+def parse_lines(lines: DataFrame, anchor: str) -> DataFrame:
+    """Candidates of the lines that name the anchor in title, URL or persons."""
+    return candidates_of(sorted_lines(lines, anchor))
+
+
+OUTCOMES = ["filtered", "short", "no_url", "no_title", "off_topic", "kept"]
+
+
+@dataclass(frozen=True)
+class Scan:
+    """Candidates of archive files, the corrupt lines apart, and counts that are there once the candidates were written."""
+
+    candidates: DataFrame
+    corrupt: DataFrame
+    seen: Observation
+
+    def counts(self) -> dict[str, int]:
+        return {name: int(self.seen.get[name]) for name in ("lines", *OUTCOMES)}
+
+
+def scan_gkg(spark: SparkSession, path: str | list[str], anchor: str) -> Scan:
+    """One pass over archive files (plain or gzip text; a directory or list of paths).
+
+    Lines are counted while they stream by (``Dataset.observe``), so counting costs no second read.
+    """
+    lines = sorted_lines(spark.read.text(path).withColumn("file", F.input_file_name()), anchor)
+    seen = Observation(f"archive-{uuid.uuid4().hex}")
+    counted = lines.observe(seen, F.count("*").alias("lines"), *[F.count_if(F.col("outcome") == name).alias(name) for name in OUTCOMES])
+    return Scan(candidates_of(counted), lines.filter("outcome = 'short'").select("file", "value"), seen)

@@ -9,7 +9,8 @@ from newsloom.catalog import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 # The rest runs the same way with TEST_ALL=1.
-QUICK = ["news_list", "page_keyset", "home_layout", "feed_sections", "sources_public", "run_outcomes_24h", "slot_gaps", "outbox_project", "canonical_url", "scan_doc_json", "quality_checks"]
+QUICK = ["news_list", "page_keyset", "home_layout", "feed_sections", "sources_public", "run_outcomes_24h", "slot_gaps", "outbox_project", "canonical_url", "scan_doc_json", "quality_checks",
+         "search_sort", "phrase_boost", "suggest_prefix", "index_terms_english", "retention_applied", "sink_articles", "article_copies", "scan_gkg_counts"]
 
 
 def test_every_oracle_belongs_to_a_query():
