@@ -158,12 +158,13 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("body"))
     rows = rows.where(F.col("id").isNotNull() & (F.length("body") >= LENGTH)).withColumn("digest", F.unhex(F.md5("body")))
-    firsts = stored(rows.select("digest", "id", F.length("body").alias("n")).groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n")), "suffix-texts")
+    firsts = stored(rows.select("digest", "id", F.length("body").alias("n")).groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n"))
+                    .withColumn("number", F.monotonically_increasing_id()), "suffix-texts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
     # Few buckets, so that a batch of rows sends large blobs: their number grows with the text, not with the partitions.
     batches, buckets = max(24, -(-total // BATCH_BYTES)), max(24, -(-total // (4 * BATCH_BYTES)))
     distinct = (rows.join(broadcast_if_small(firsts.drop("n")), "digest").where("id = first")
-                .withColumn("batch", F.pmod(F.xxhash64("digest"), F.lit(batches))).select("batch", "id", "digest", "body"))
+                .withColumn("batch", F.pmod(F.xxhash64("digest"), F.lit(batches))).select("batch", "id", "number", "body"))
 
     def ask(tables):
         for table in tables:
@@ -201,7 +202,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     def segments(texts, told):
         bodies = texts.column("body").to_pylist()
-        ids, digests = texts.column("id").to_pylist(), texts.column("digest").to_pylist()
+        ids, numbers = texts.column("id").to_pylist(), texts.column("number").to_pylist()
         known = np.sort(unpacked(told.column("shared").to_pylist())) if len(told) else np.empty(0, np.uint64)
         out: list[tuple] = []
         if len(known):
@@ -209,13 +210,13 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 at = np.searchsorted(known, name)
                 hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == name)
                 for o, a, b, m in zip(own[hit].tolist(), first[hit].tolist(), last[hit].tolist(), name[hit].tolist(), strict=True):
-                    out.append((m, bodies[o][a:b + LENGTH], digests[o], ids[o], a))
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+                    out.append((m, bodies[o][a:b + LENGTH], numbers[o], ids[o], a))
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["name", "segment", "digest", "id", "start"])
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["name", "segment", "number", "id", "start"])
 
     cut = stored(distinct.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(
-        segments, "name long, segment binary, digest binary, id long, start long"), "suffix-segments")
+        segments, "name long, segment binary, number long, id long, start long"), "suffix-segments")
     single = stored(cut.groupBy("name", "segment").agg(F.min("id").alias("first"), F.max("id").alias("last")), "suffix-distinct")
     # A name with one segment needs no sorting: its later texts lose the segment, its first one nothing.
     kinds = single.groupBy("name").agg(F.count("*").alias("kinds"), F.sum(F.length("segment") + 1).alias("bytes")).where("kinds > 1")
@@ -241,8 +242,8 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     windows = stored(sorted_.union(hot), "suffix-windows")
     # Back to the texts: (name, hash of the segment) stands for a segment, 112 bits in all.
     code = F.xxhash64("segment").alias("code")
-    known = stored(single.select("name", code, "first").join(windows.select("name", code, "windows"), ["name", "code"], "left"), "suffix-known")
-    lost = (cut.select("name", code, "digest", "id", "start", F.length("segment").alias("size"))
+    known = single.select("name", code, "first").join(windows.select("name", code, "windows"), ["name", "code"], "left")
+    lost = (cut.select("name", code, "number", "id", "start", F.length("segment").alias("size"))
             .join(known, ["name", "code"]).where((F.col("id") > F.col("first")) | F.col("windows").isNotNull()))
     whole = F.array(F.array(F.lit(0).cast("long"), (F.col("size") - LENGTH + 1).cast("long")))
     spans = F.transform(F.when(F.col("id") > F.col("first"), whole).otherwise(F.col("windows")),
@@ -251,9 +252,9 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         if(size(a) > 0 and element_at(a, -1).e >= x.s,
            concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e)))),
            concat(a, array(named_struct('s', x.s, 'e', x.e)))))"""
-    pieces = lost.select("digest", F.explode(spans).alias("x")).distinct()
-    per_text = pieces.groupBy("digest").agg(F.sort_array(F.collect_list("x")).alias("found")).select("digest", F.expr(merged).alias("spans"))
-    return stored(firsts.join(per_text, "digest", "left").select("digest", "first", "spans"), "suffix-spans")
+    pieces = lost.select("number", F.explode(spans).alias("x"))
+    per_text = pieces.groupBy("number").agg(F.sort_array(F.collect_list("x")).alias("found")).select("number", F.expr(merged).alias("spans"))
+    return stored(firsts.join(per_text, "number", "left").select("digest", "first", "spans"), "suffix-spans")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
