@@ -41,7 +41,7 @@ SKETCHES, KEPT = 40, 8
 SHORT = 60
 #: Texts up to which a shingle is not counted as common, and shingles hashed at once.
 RARE, CHUNK = 8, 50_000
-_WORD = re.compile(r"\w+")
+_WORD, _WORD_OR_END = re.compile(r"\w+"), re.compile(r"\w+|\n")
 _M = np.uint64(0xFF51AFD7ED558CCD)
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,15 +57,30 @@ class Words:
     """Word hashes, remembered for a batch."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known = _Hashes()
 
     def of(self, text: str) -> np.ndarray:
-        known, words = self.known, _WORD.findall(text.lower())
-        for w in {w for w in words if w not in known}:
-            known[w] = int.from_bytes(blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-        if len(known) > 500_000:
-            self.known = {}
-        return np.fromiter((known[w] for w in words), np.uint64, len(words))
+        words = _WORD.findall(text.lower())
+        return self.hashed(words)
+
+    def hashed(self, words: list[str]) -> np.ndarray:
+        out = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        if len(self.known) > 500_000:
+            self.known = _Hashes()
+        return out
+
+    def with_lines(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The words of a text, and how many there are before each of its line ends."""
+        words = _WORD_OR_END.findall(text.lower())
+        ends = [k for k, w in enumerate(words) if w == "\n"] if "\n" in text else []
+        hashes = self.hashed(words)
+        return np.delete(hashes, ends), np.array(ends, np.int64) - np.arange(len(ends))
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = out = int.from_bytes(blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        return out
 
 
 def shingles(words: np.ndarray) -> np.ndarray:

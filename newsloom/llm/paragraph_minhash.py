@@ -23,35 +23,74 @@ from pyspark.sql import types as T
 
 from newsloom.llm.common import broadcast_if_small, over_batches, stored
 from newsloom.llm.components import components
-from newsloom.llm.order_minhash import SIMILARITY, Words, mixed, prefix_pairs, shingles
+from newsloom.llm.order_minhash import SHINGLE, SIMILARITY, Words, mixed, prefix_pairs, shingles
 
 WORDS, BANDS, ROWS = 25, 8, 3
+#: Characters of texts that are hashed at once.
+CHUNK_CHARS = 1 << 19
 _rng = np.random.default_rng(3)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def bands(found: np.ndarray) -> list[int]:
-    """One hash per band of the minima of the shingles."""
-    least = mixed(np.unique(found)[:, None] * _A).min(axis=0).reshape(BANDS, ROWS)
-    out = np.arange(BANDS, dtype=np.uint64)
+def hashed_lines(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For lines (ranges of ``words``, each of five words at least): two hashes of the ordered shingles, and one hash per band of their minima.
+
+    Shingles of all words are hashed at once; a line takes those that lie in it.
+    """
+    n = len(words) - SHINGLE + 1
+    marks = np.zeros(n + 1, np.uint64)  # one more, so that a last range has an end
+    for k in range(SHINGLE):
+        marks[:n] = mixed(marks[:n] + words[k:n + k] + np.uint64(k + 1))
+    cut = np.stack([starts, ends - SHINGLE + 1], 1).ravel()
+    place = np.zeros(n + 1, np.uint64)
+    sizes = ends - SHINGLE + 1 - starts
+    place[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())] = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint64)
+    one = mixed(np.add.reduceat(mixed(marks + place), cut)[::2])
+    two = mixed(np.bitwise_xor.reduceat(marks * _A[0] + place, cut)[::2])
+    out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(starts), BANDS)).copy()
     for r in range(ROWS):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + least[:, r])
-    return out.view(np.int64).tolist()
-
-
-def blocks(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the chosen blocks of a text, and two hashes of their words."""
-    n = len(words) - WORDS + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    rank = mixed(mixed(words[:-2] + np.uint64(5)) + words[1:-1] * np.uint64(3) + words[2:] * np.uint64(7))[:n]
-    width = min(WORDS + 1, n)
-    view = np.lib.stride_tricks.sliding_window_view(rank, width)
-    at = np.unique(np.concatenate([view[i:i + 20_000].argmin(axis=1) + np.arange(i, min(i + 20_000, len(view))) for i in range(0, len(view), 20_000)]))
+        for band in range(BANDS):
+            least = np.minimum.reduceat(mixed(marks * _A[band * ROWS + r]), cut)[::2]
+            out[:, band] = mixed(out[:, band] * np.uint64(0x9E3779B97F4A7C15) + least)
+    return one.view(np.int64), two.view(np.int64), out.view(np.int64)
+
+
+def first_least(rank: np.ndarray, width: int) -> np.ndarray:
+    """The place of the first least value of every ``width`` in a row, by doubling."""
+    at, n = np.arange(len(rank)), 1
+    while 2 * n <= width:
+        left, right = at[:-n], at[n:]
+        at, n = np.where(rank[left] <= rank[right], left, right), 2 * n
+    if n < width:
+        left, right = at[:len(at) - (width - n)], at[width - n:]
+        at = np.where(rank[left] <= rank[right], left, right)
+    return at
+
+
+def blocks(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place, and two hashes of the words of every chosen block of many texts."""
+    texts_at = [k for k, w in enumerate(texts) if len(w) >= WORDS]
+    gap = np.zeros(WORDS + 2, np.uint64)
+    if not texts_at:
+        return (np.empty(0, np.int64),) * 4
+    words = np.concatenate([part for k in texts_at for part in (texts[k], gap)])
+    sizes = np.array([len(texts[k]) for k in texts_at])
+    starts = np.cumsum(sizes + len(gap)) - sizes - len(gap)
+    rank = mixed(mixed(words[:-2] + np.uint64(5)) + words[1:-1] * np.uint64(3) + words[2:] * np.uint64(7))
+    held = np.zeros(len(rank) + 1, np.int64)
+    np.add.at(held, starts, 1)
+    np.add.at(held, starts + sizes - WORDS + 1, -1)
+    rank[np.cumsum(held[:-1]) == 0] = np.uint64(0xFFFFFFFFFFFFFFFF)  # no block of the text begins here
+    least = first_least(rank, WORDS + 1)
+    # Windows of places: one for a text with few places, else all that lie in the text.
+    many = np.maximum(sizes - WORDS + 1 - WORDS, 1)
+    window = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    at = np.unique(least[window])
+    owner = np.searchsorted(starts, at, "right") - 1
     one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
     for k in range(WORDS):
         one, two = mixed(one + words[at + k] + np.uint64(k)), mixed(two * np.uint64(31) + words[at + k] + np.uint64(99))
-    return at, one.view(np.int64), two.view(np.int64)
+    return np.array(texts_at)[owner], at - starts[owner], one.view(np.int64), two.view(np.int64)
 
 
 def paragraphs(distinct: DataFrame) -> DataFrame:
@@ -59,22 +98,35 @@ def paragraphs(distinct: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "start", "end", "one", "two")]
                           + [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("line", T.StringType())])
 
+    def found_in(part, vocabulary):
+        texts, places, lines = [], [], []
+        done = 0
+        for i, text in part:
+            words, ends = vocabulary.with_lines(text)
+            edges, split = np.r_[0, ends, len(words)], text.split("\n")
+            for k in np.flatnonzero(np.diff(edges) >= WORDS).tolist():
+                places.append((done + edges[k], done + edges[k + 1]))
+                lines.append((i, int(edges[k]), int(edges[k + 1]), split[k]))
+            texts.append(words)
+            done += len(words)
+        if places:
+            starts, ends = np.array(places).T
+            one, two, marks = hashed_lines(np.concatenate(texts), starts, ends)
+            for (i, start, end, line), a, b, m in zip(lines, one.tolist(), two.tolist(), marks.tolist(), strict=True):
+                yield i, start, end, a, b, m, line
+        for k, at, a, b in zip(*(c.tolist() for c in blocks(texts)), strict=True):
+            yield part[k][0], at, at + WORDS, a, b, None, None
+
     def rows(batch):
-        vocabulary = Words()
+        vocabulary, part, size = Words(), [], 0
         for i, text in batch:
-            done, whole = 0, []
-            for line in text.split("\n"):
-                words = vocabulary.of(line)
-                whole.append(words)
-                if len(words) >= WORDS:
-                    found = shingles(words)
-                    one, two = np.uint64(0), np.uint64(0)
-                    with np.errstate(over="ignore"):
-                        one, two = mixed(np.add.reduce(mixed(found + np.arange(len(found), dtype=np.uint64)))), mixed(np.bitwise_xor.reduce(found * _A[0] + np.arange(len(found), dtype=np.uint64)))
-                    yield i, done, done + len(words), int(one.view(np.int64)), int(two.view(np.int64)), bands(found), line
-                done += len(words)
-            for at, one, two in zip(*(c.tolist() for c in blocks(np.concatenate(whole) if whole else np.empty(0, np.uint64))), strict=True):
-                yield i, at, at + WORDS, one, two, None, None
+            part.append((i, text))
+            size += len(text)
+            if size >= CHUNK_CHARS:
+                yield from found_in(part, vocabulary)
+                part, size = [], 0
+        if part:
+            yield from found_in(part, vocabulary)
 
     return stored(over_batches(distinct, ["id", "text"], schema, rows), "paragraphs")
 
