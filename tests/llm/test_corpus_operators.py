@@ -381,3 +381,55 @@ def test_every_dealt_query_is_registered():
 
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_rows_without_leaks_are_known_by_number(spark):
+    """Null and repeated keys, and a column named like the operator's own."""
+    rng = random.Random(8)
+    leak, clean = sentence(rng, 40), sentence(rng, 40)
+    items = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    rows = [(None, leak, 1), (None, clean, 2), (7, leak, 3), (7, clean, 4), (7, clean, 4), (8, None, 5), (9, "", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_number int")
+    kept = spaced_seeds.clean(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([r for r in rows if r[1] != leak], key=repr)
+    assert spaced_seeds.clean(docs.limit(0), items).count() == 0
+
+
+def test_first_rows_of_classes_keep_clashing_columns(spark):
+    rng = random.Random(9)
+    text = sentence(rng, 60)
+    rows = [(1, text, 11, 21), (2, text, 12, 22), (3, sentence(rng, 60), 13, 23)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_number int, _number int")
+    assert sorted(map(tuple, order_minhash.first_of_classes(docs).collect())) == [rows[0], rows[2]]
+
+
+def test_rules_and_lasso_equal_a_plain_fit(spark):
+    rng = np.random.default_rng(4)
+    x = rng.random((400, len(rule_ensemble.STATISTICS)))
+    y = ((x[:, 1] > 0.5) & (x[:, 4] <= 0.7) | (rng.random(400) < 0.1)).astype(float)
+    model = rule_ensemble.fit(x, y)
+    assert 0 < len(model.rules) < 60
+    df = spark.createDataFrame([(k, *map(float, row)) for k, row in enumerate(x)], ["k", *rule_ensemble.STATISTICS])
+    got = np.array([r.s for r in df.orderBy("k").select(model.column().alias("s")).collect()])
+    margin = model.base + sum(w * rule.holds(x) for w, rule in zip(model.weights, model.rules, strict=True))
+    assert np.allclose(got, 1 / (1 + np.exp(-margin)), atol=1e-9)
+    assert ((got > 0.5) == (y == 1)).mean() > 0.9
+    # The weights against slow plain steps on all rows.
+    r = np.column_stack([rule.holds(x) for rule in model.rules]).astype(np.float32)
+    quick = rule_ensemble.lasso(r, y, 1 - y, 0.01, rounds=3000, still=1e-9)
+    a, slow = np.column_stack([np.ones(400), r]), np.zeros(r.shape[1] + 1)
+    step = 4 * 400 / np.linalg.norm(a, 2) ** 2
+    for _ in range(20_000):
+        slow -= step * a.T @ (1 / (1 + np.exp(-a @ slow)) - y) / 400
+        slow[1:] = np.sign(slow[1:]) * np.maximum(np.abs(slow[1:]) - step * 0.01, 0)
+    loss = lambda w: np.log1p(np.exp(-(2 * y - 1) * (a @ w))).mean() + 0.01 * np.abs(w[1:]).sum()
+    assert loss(quick) < loss(slow) + 1e-5
+
+
+def test_several_texts_of_one_labelled_key_give_one_model(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    texts = [(k, ("good words in a calm line " if k % 2 else "BUY!!! $$$ NOW!!! ") * 5) for k in range(200)]
+    twice = spark.createDataFrame([*texts, *[(k, "another text of the key") for k in range(0, 200, 3)]], "doc_id long, text string")
+    one, two = (rule_ensemble.learn(rule_ensemble.measured(twice.repartition(n)), labels) for n in (2, 7))
+    assert one == two
