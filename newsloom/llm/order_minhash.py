@@ -245,12 +245,16 @@ def prefix_pairs(texts: DataFrame, classes: DataFrame, least: float = SIMILARITY
              .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
              .select("id", "n", "mark", "place").join(classes, "id"))
     first = stored(first, "near-prefixes")
-    side = lambda i: first.select("mark", *[F.col(c).alias(f"{c}_{i}") for c in ("id", "n", "place", "class")])
+    # Of two texts of different classes one at least is outside the largest class of a mark: those texts look for
+    # partners, the largest class is only looked at. So a family that is one class already makes no pairs.
+    shares = first.groupBy("mark", "class").agg(F.count("*").alias("rows")).groupBy("mark").agg(
+        F.max_by("class", F.struct("rows", "class")).alias("largest"), F.count("*").alias("classes")).where("classes > 1").select("mark", "largest")
+    asking = first.join(broadcast_if_small(stored(shares, "near-mixed")), "mark").where("class <> largest").drop("largest")
+    side = lambda df, i: df.select("mark", *[F.col(c).alias(f"{c}_{i}") for c in ("id", "n", "place", "class")])
     # For two given sizes more must be common, and the prefixes that have to meet are shorter.
     need = F.ceil(F.lit(least / (1 + least)) * (F.col("n_a") + F.col("n_b")) - 1e-9)
-    near = ((F.col("class_a") != F.col("class_b")) & (F.col("id_a") < F.col("id_b"))
-            & (F.col("place_a") <= F.col("n_a") - need + 1) & (F.col("place_b") <= F.col("n_b") - need + 1))
-    return side("a").join(side("b"), "mark").where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    near = (F.col("class_a") != F.col("class_b")) & (F.col("place_a") <= F.col("n_a") - need + 1) & (F.col("place_b") <= F.col("n_b") - need + 1)
+    return side(asking, "a").join(side(first, "b"), "mark").where(near).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def classes_of_rows(docs: DataFrame, key: str, text: str, least: float, row: Column | None = None) -> DataFrame:
