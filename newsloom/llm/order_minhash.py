@@ -41,6 +41,8 @@ SKETCHES, KEPT = 40, 8
 SHORT = 60
 #: Texts up to which a shingle is not counted as common, and shingles hashed at once.
 RARE, CHUNK = 8, 50_000
+#: Word hashes that a worker remembers.
+KNOWN_WORDS = 100_000
 _WORD, _WORD_OR_END = re.compile(r"\w+"), re.compile(r"\w+|\n")
 _M = np.uint64(0xFF51AFD7ED558CCD)
 _rng = np.random.default_rng(20)
@@ -65,7 +67,7 @@ class Words:
 
     def hashed(self, words: list[str]) -> np.ndarray:
         out = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-        if len(self.known) > 500_000:
+        if len(self.known) > KNOWN_WORDS:
             self.known = _Hashes()
         return out
 

@@ -27,7 +27,7 @@ from newsloom.llm.order_minhash import SHINGLE, SIMILARITY, Words, mixed, prefix
 
 WORDS, BANDS, ROWS = 25, 8, 3
 #: Characters of texts that are hashed at once.
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 18
 _rng = np.random.default_rng(3)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
