@@ -7,7 +7,10 @@ import os
 import sys
 import time
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+_HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, _HERE)
+# Python workers find the package in whatever folder the benchmark runs.
+os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([_HERE, *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]))
 
 HEADLINE = [
     "scan_gkg", "normalize_candidates", "dedup_url", "relevance_score", "category_scores", "quality_checks",
