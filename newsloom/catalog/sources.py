@@ -63,7 +63,7 @@ def answer_files(spark, sf):
 
 
 def query_of_file():
-    return F.floor(F.regexp_extract("file", "file=([0-9]+)", 1).cast("int") / 100).cast("int")
+    return (F.regexp_extract("file", "file=([0-9]+)", 1).cast("long") % 10).cast("int")
 
 
 NAMES_SQL = f"""WITH {i.PAGES_SQL},
@@ -131,7 +131,8 @@ def _(spark, sf):
 
 
 def answers(spark, sf):
-    """Ten JSON answers, one per fetch window, from the pages; some items and answers are bad."""
+    """Ten JSON answers for every 500 pages, one per fetch window; some items and answers are bad. The last digit of an answer's
+    number is its window, whatever the number of pages."""
     p = i.page_candidates(spark, sf)
     item = F.struct(
         F.when(F.col("arrival") % 11 != 0, F.col("url")).alias("url"),
@@ -140,9 +141,9 @@ def answers(spark, sf):
         F.lit("").alias("socialimage"), F.lit("feed.example.org").alias("domain"), F.lit("English").alias("language"),
         F.col("source_country").alias("sourcecountry"),
     )
-    w = F.col("run_id") * 100 + F.floor(F.col("arrival") / 500)
+    w = F.floor(F.col("arrival") / 500) * 10 + F.col("run_id")
     body = p.groupBy(w.alias("file")).agg(F.to_json(F.struct(F.collect_list(item).alias("articles"))).alias("body"))
-    k = F.floor(F.col("file") / 100)
+    k = F.col("file") % 10
     value = F.when(k == 3, "Your query was too short.").when(k == 4, "{}").when(k == 5, '{"articles": 5}').when(
         k == 6, F.concat(F.lit("\n"), F.regexp_replace("body", '"English"', '"Eng\tlish"'))).when(k == 7, "").when(
         k == 8, '{"status": "ok"}').when(k == 9, '{"articles": [').otherwise(F.col("body"))
