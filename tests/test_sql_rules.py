@@ -30,3 +30,11 @@ def tables(folder, **changed: str) -> str:
 def test_answers_of_many_pages_stay_apart(spark, tmp_path, name):
     sf = tables(tmp_path, pages="SELECT * REPLACE (page_id + 49900 AS page_id) FROM {}")
     assert difference(spark, sf, name, QUERIES[name], ORACLES[name]) is None
+
+
+@pytest.mark.parametrize("name", ["normalize_candidates", "dedup_url", "sightings_merge"])
+def test_titles_with_the_name_of_their_publisher(spark, tmp_path, name):
+    site = "split_part(regexp_extract(url, '://([^/]*)', 1), '.', 1)"
+    title = f"'<title>Some words about it' || CASE page_id % 4 WHEN 0 THEN ' | ' || {site} WHEN 1 THEN ' - ' || upper({site}) || ' - a slogan' WHEN 2 THEN repeat(' and on', 60) ELSE ' | other' END || '</title>'"
+    sf = tables(tmp_path, pages=f"SELECT * REPLACE (regexp_replace(html, '(?s)<title>.*?</title>', {title}) AS html) FROM {{}}")
+    assert difference(spark, sf, name, QUERIES[name], ORACLES[name]) is None
