@@ -38,3 +38,9 @@ def test_titles_with_the_name_of_their_publisher(spark, tmp_path, name):
     title = f"'<title>Some words about it' || CASE page_id % 4 WHEN 0 THEN ' | ' || {site} WHEN 1 THEN ' - ' || upper({site}) || ' - a slogan' WHEN 2 THEN repeat(' and on', 60) ELSE ' | other' END || '</title>'"
     sf = tables(tmp_path, pages=f"SELECT * REPLACE (regexp_replace(html, '(?s)<title>.*?</title>', {title}) AS html) FROM {{}}")
     assert difference(spark, sf, name, QUERIES[name], ORACLES[name]) is None
+
+
+def test_upper_case_of_sharp_s_and_all_spam_terms(spark, tmp_path):
+    head = "CASE doc_id % 3 WHEN 0 THEN 'Straße mit großem Maß' WHEN 1 THEN repeat('Ein Maß voll ', 22) || 'am Fluß' ELSE 'Satta matka and viagra for all' END"
+    sf = tables(tmp_path, documents=f"SELECT * REPLACE ({head} || chr(10) || text AS text) FROM {{}}")
+    assert difference(spark, sf, "quality_checks", QUERIES["quality_checks"], ORACLES["quality_checks"]) is None
