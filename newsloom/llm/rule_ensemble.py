@@ -47,8 +47,7 @@ def statistics(text: Column) -> dict[str, Column]:
 
 def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """``key`` and the statistics of every row; with ``whole`` also the row itself, as a struct, and a number."""
-    # The number keeps filters above this projection, so that no rule computes a statistic again.
-    extra = {"_row": F.struct(*[docs[f"`{c}`"] for c in docs.columns]), "_number": F.monotonically_increasing_id()} if whole else {}
+    extra = {"_row": F.struct(*[docs[f"`{c}`"] for c in docs.columns])} if whole else {}
     first = docs.select(F.col(key).alias(key), *[c.alias(n) for n, c in extra.items()], *[c.alias(n) for n, c in statistics(F.col(text)).items()])
     n, lines = F.size("words"), F.size("lines")
     share = lambda part, whole: F.coalesce(part / F.when(whole > 0, whole), F.lit(0.0)).cast("double")
@@ -58,7 +57,9 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bo
         share(n - F.size(F.array_distinct("words")), n).alias("repeated_words"),
         share(lines - F.size(F.array_distinct("lines")), lines).alias("repeated_lines"),
         share(F.size(F.filter("words", lambda w: F.length(w) > 14)), n).alias("long_words"))
-    return second.select(key, *extra, *STATISTICS)
+    # The number keeps filters above the last projection, so that no rule computes a statistic again.
+    number = [F.monotonically_increasing_id().alias("_number")] if whole else []
+    return second.select(key, *extra, *STATISTICS, *number)
 
 
 @dataclass(frozen=True)
