@@ -14,7 +14,8 @@ subsequence inside the band that the threshold leaves) verifies them: common shi
 
 Large buckets: each bucket first compares its members with its first text only (a star). Buckets that then still hold several
 classes are searched in full, between different classes only: their texts are joined on their rarest shingles (prefix
-filtering, which misses no similar pair), together with all short texts, and the pairs are verified. A link inside a class would not change the result, so no
+filtering, which misses no similar pair), together with all short texts, and the pairs are verified. Shingles at which many classes
+still meet are compared with few central texts before, which makes one class of most families. A link inside a class would not change the result, so no
 link that counts is lost, without caps, and a passage that many texts share does not pair them.
 
 Defined cases: null and wordless texts are no copies of anything and are their own class (their row's key); texts under
@@ -25,6 +26,7 @@ row; the class is named by its smallest key; a null key is kept and never names
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from hashlib import blake2b
 
 import numpy as np
@@ -41,6 +43,8 @@ SKETCHES, KEPT = 40, 8
 SHORT = 60
 #: Texts up to which a shingle is not counted as common, and shingles hashed at once.
 RARE, CHUNK = 8, 50_000
+#: Texts outside the largest class of a mark from which they are compared with single texts first.
+CROWD = 32
 #: Word hashes that a worker remembers.
 KNOWN_WORDS = 100_000
 _WORD, _WORD_OR_END = re.compile(r"\w+"), re.compile(r"\w+|\n")
@@ -225,8 +229,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     return stored(over_batches(both, ["a", "b", "text_a", "text_b"], schema, run), "near-links")
 
 
-def prefix_pairs(texts: DataFrame, classes: DataFrame, least: float = SIMILARITY, repeats: bool = True) -> DataFrame:
-    """Every pair of different classes that can be similar: similar texts share one of their rarest shingles.
+def prefixes(texts: DataFrame, classes: DataFrame, least: float = SIMILARITY, repeats: bool = True) -> DataFrame:
+    """(id, n, mark, place, class): the rarest shingles of every text, of which similar texts share one; stored.
 
     Shingles count with their repeats, or as a set without ``repeats``. Of n shingles similar texts share ``least`` n or more, so they share one of the n - ceil(least n) + 1 first in any
     common order. The order puts shingles that few of these texts have first, so a passage that many texts share joins
@@ -246,17 +250,62 @@ def prefix_pairs(texts: DataFrame, classes: DataFrame, least: float = SIMILARITY
     first = (each.join(broadcast_if_small(common), "mark", "left").withColumn("place", place)
              .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
              .select("id", "n", "mark", "place").join(classes, "id"))
-    first = stored(first, "near-prefixes")
-    # Of two texts of different classes one at least is outside the largest class of a mark: those texts look for
-    # partners, the largest class is only looked at. So a family that is one class already makes no pairs.
-    shares = first.groupBy("mark", "class").agg(F.count("*").alias("rows")).groupBy("mark").agg(
-        F.max_by("class", F.struct("rows", "class")).alias("largest"), F.count("*").alias("classes")).where("classes > 1").select("mark", "largest")
-    asking = first.join(broadcast_if_small(stored(shares, "near-mixed")), "mark").where("class <> largest").drop("largest")
-    side = lambda df, i: df.select("mark", *[F.col(c).alias(f"{c}_{i}") for c in ("id", "n", "place", "class")])
-    # For two given sizes more must be common, and the prefixes that have to meet are shorter.
+    return stored(first, "near-prefixes")
+
+
+def meeting(asking: DataFrame, asked: DataFrame, least: float) -> DataFrame:
+    """The (a, b) pairs of rows of different classes that share a mark at places where similar texts can.
+
+    For two given sizes more must be common, and the prefixes that have to meet are shorter: a row at a place meets sizes in a
+    range only. Sizes are dealt into bands, so that rows of one mark that can not meet are not paired to be refused; ``asked`` has
+    the band of its size, ``asking`` looks into the bands of its range."""
+    lowest = F.ceil(F.col("n") * least - 1e-6)
+    highest = F.floor((F.col("n") - F.col("place") + 1) * ((1 + least) / least) + 1e-6) - F.col("n")
+    seeking = asking.where(highest >= lowest).withColumn("band", F.explode(F.sequence(band(lowest), band(highest))))
+    side = lambda df, i: df.select("mark", "band", *[F.col(c).alias(f"{c}_{i}") for c in ("id", "n", "place", "class")])
     need = F.ceil(F.lit(least / (1 + least)) * (F.col("n_a") + F.col("n_b")) - 1e-9)
     near = (F.col("class_a") != F.col("class_b")) & (F.col("place_a") <= F.col("n_a") - need + 1) & (F.col("place_b") <= F.col("n_b") - need + 1)
-    return side(asking, "a").join(side(first, "b"), "mark").where(near).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    return side(seeking, "a").join(side(asked, "b"), ["mark", "band"]).where(near).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def band(size: Column) -> Column:
+    """The number of the band of a size; bands grow by a tenth."""
+    return F.floor(F.log(size.cast("double")) / float(np.log(1.1)))
+
+
+def prefix_links(texts: DataFrame, classes: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float = SIMILARITY,
+                 repeats: bool = True) -> DataFrame:
+    """Links (a, b) that join all classes between which there is a similar pair. ``verify`` keeps the similar ones of (a, b) pairs.
+
+    Of two texts of different classes one at least is outside the largest class of a mark: those texts look for
+    partners, the largest class is only looked at. So a family that is one class already makes no pairs. Where many texts of a mark are outside
+    it, they and all others are first compared with one text of every band, the one that has the mark earliest: it has the
+    fewest rare shingles, so it is the most like the rest of its family. Classes that meet there are joined, and further rounds take a text of a
+    class that has not been compared, while they bring down what is outside by a quarter. Then every pair that is left is verified."""
+    first, links, hubs, before = prefixes(texts, classes, least, repeats), None, None, None
+    while True:
+        rows = first.groupBy("mark", "class").agg(F.count("*").alias("rows"))
+        mixed_ = stored(rows.groupBy("mark").agg(F.max_by("class", F.struct("rows", "class")).alias("largest"), (F.sum("rows") - F.max("rows")).alias("outside"))
+                        .where("outside > 0"), "near-mixed")
+        crowded = mixed_.where(F.col("outside") > CROWD)
+        outside = crowded.agg(F.sum("outside")).first()[0] or 0
+        if not outside or before is not None and outside > 0.75 * before:
+            break
+        before = outside
+        crowd = first.join(broadcast_if_small(crowded.select("mark")), "mark").withColumn("band", band(F.col("n")))
+        fresh = crowd if hubs is None else crowd.join(broadcast_if_small(stored(hubs.join(classes, "id").select("mark", "band", "class"), "near-compared")),
+                                                      ["mark", "band", "class"], "left_anti")
+        central = stored(fresh.groupBy("mark", "band").agg(F.min(F.struct((F.col("place") / F.col("n")).alias("depth"), "id", "n", "place", "class")).alias("hub"))
+                         .select("mark", "band", "hub.*"), "near-hubs")
+        found = verify(stored(meeting(crowd.drop("band"), broadcast_if_small(central), least), "near-hub-pairs"))
+        links = found if links is None else links.union(found)
+        hubs = central.select("mark", "band", "id") if hubs is None else hubs.union(central.select("mark", "band", "id"))
+        of = lambda i: classes.select(F.col("id").alias(i), F.col("class").alias(f"class_{i}"))
+        joined = broadcast_if_small(components(found.join(of("a"), "a").join(of("b"), "b"), "class_a", "class_b").withColumnRenamed("node", "class"))
+        first, classes = (df.join(joined, "class", "left").withColumn("class", F.coalesce("root", "class")).drop("root") for df in (first, classes))
+    met = first.join(broadcast_if_small(mixed_), "mark")
+    rest = verify(stored(meeting(met.where("class <> largest"), met.withColumn("band", band(F.col("n"))), least), "near-pairs"))
+    return rest if links is None else links.union(rest)
 
 
 def classes_of_rows(docs: DataFrame, key: str, text: str, least: float, row: Column | None = None) -> DataFrame:
@@ -278,8 +327,7 @@ def classes_of_rows(docs: DataFrame, key: str, text: str, least: float, row: Col
     mixed_ = classed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("bucket")
     single = short.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("class"))
     loose = stored(classed.join(mixed_, "bucket", "left_semi").select("id", "class").union(single).distinct(), "near-loose")
-    pairs = prefix_pairs(texts.join(loose.select("id"), "id", "left_semi"), loose, least)
-    links = links.union(verified(stored(pairs, "near-pairs"), texts, least))
+    links = links.union(prefix_links(texts.join(loose.select("id"), "id", "left_semi"), loose, lambda pairs: verified(pairs, texts, least), least))
     roots = components(links).withColumnRenamed("node", "id").withColumnRenamed("root", "class")
     grouped = stored(nodes.join(roots, "id", "left").select("digest", F.coalesce("class", "id").alias("class")), "near-roots")
     rows = found.join(grouped, "digest", "left").select("key", "row", "digest", F.coalesce("class", "row").alias("class"))

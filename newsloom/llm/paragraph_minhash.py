@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from newsloom.llm.common import broadcast_if_small, over_batches, stored
 from newsloom.llm.components import components
-from newsloom.llm.order_minhash import SHINGLE, SIMILARITY, Words, mixed, prefix_pairs, shingles
+from newsloom.llm.order_minhash import SHINGLE, SIMILARITY, Words, mixed, prefix_links, shingles
 
 WORDS, BANDS, ROWS = 25, 8, 3
 #: Characters of texts that are hashed at once.
@@ -163,8 +163,8 @@ def line_classes(found: DataFrame) -> DataFrame:
     classed = stored(members.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("class")), "paragraph-classed")
     several = classed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band")
     loose = stored(classed.join(several, "band", "left_semi").select("id", "class").distinct(), "paragraph-loose")
-    more = stored(prefix_pairs(texts.join(loose.select("id"), "id", "left_semi"), loose, repeats=False), "paragraph-pairs")
-    return stored(components(links.union(alike(more, texts))).select(F.col("node").alias("one"), F.col("root").alias("class")), "paragraph-classes")
+    more = prefix_links(texts.join(loose.select("id"), "id", "left_semi"), loose, lambda pairs: alike(pairs, texts), repeats=False)
+    return stored(components(links.union(more)).select(F.col("node").alias("one"), F.col("root").alias("class")), "paragraph-classes")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
